@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import conversations as conv
 from sparkloom.llm import encode as enc
+from sparkloom.llm import leakage, splitting, subjects
 from sparkloom.runtime import table
 
 
@@ -20,10 +21,56 @@ def p1_reply_trees(spark, d):
     return trees.groupBy("session_id").agg(F.sum("n").alias("messages"), F.count("*").alias("trees"), F.max("n").alias("largest_tree"))
 
 
+def p4_found(spark, d):
+    return splitting.oversized_items(table(spark, d, "extracted_texts"), table(spark, d, "chunk_sets"))
+
+
+def p4_pieces(spark, d):
+    """Per set: its pieces, the items they come from, and whether all keep the limit and the overlap."""
+    sets = splitting.effective_sets(table(spark, d, "chunk_sets"))
+    pieces = splitting.split_texts(table(spark, d, "extracted_texts"), table(spark, d, "chunk_sets"))
+    limit = F.floor(F.col("chunk_size") * F.col("chars_per_token") + F.lit(1e-9))
+    return (
+        pieces.join(F.broadcast(sets), "chunk_set_id")
+        .groupBy("chunk_set_id")
+        .agg(
+            F.count("*").alias("pieces"),
+            F.count_if("piece_no = 1").alias("items"),
+            F.max(F.col("end_offset") - F.col("start_offset") - limit).alias("over_limit"),
+        )
+    )
+
+
 def p7_ids(spark, d):
     return enc.encode(table(spark, d, "documents"))
 
 
+def p8_found(spark, d):
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_leaks_by_suite(spark, d):
+    """Per suite: items leaked and documents that leak them."""
+    items = table(spark, d, "eval_items")
+    found = leakage.leaks(table(spark, d, "documents"), items)
+    per_item = found.groupBy("item_id").agg(F.count("*").alias("n"))
+    return items.join(per_item, "item_id").groupBy("suite").agg(F.count("*").alias("items_leaked"), F.sum("n").alias("documents"))
+
+
+def p9_found(spark, d):
+    shares = subjects.subject_shares(table(spark, d, "documents"), table(spark, d, "subject_areas"), table(spark, d, "subject_labels"))
+    return shares.select("doc_id", "subject")
+
+
+def p9_composition(spark, d):
+    """The corpus by subject: documents, and documents of that subject alone."""
+    shares = subjects.subject_shares(table(spark, d, "documents"), table(spark, d, "subject_areas"), table(spark, d, "subject_labels"))
+    each = shares.groupBy("doc_id").agg(F.collect_list("subject").alias("all"))
+    return each.select(F.explode("all").alias("subject"), (F.size("all") == 1).alias("alone")).groupBy("subject").agg(
+        F.count("*").alias("documents"), F.count_if("alone").alias("alone")
+    )
+
+
 _P1_SQL = r"""
 WITH best AS (
   SELECT * FROM transcript_records WHERE session_id IS NOT NULL
@@ -52,9 +99,37 @@ sound AS (
 SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY line_no) AS INTEGER) AS turn_no, record_id
 FROM marked JOIN sound USING (session_id) WHERE is_message"""
 
-QUERIES = {"p1_found": p1_found, "p1_reply_trees": p1_reply_trees, "p7_ids": p7_ids}
-
-SQL = {"p1_found": _P1_SQL}
+_P4_SQL = r"""
+WITH base AS (SELECT * FROM chunk_sets WHERE is_default),
+sets AS (
+  SELECT s.chunk_set_id, s.corpus_id, coalesce(s.chunk_size, b.chunk_size, 256) * s.chars_per_token AS most, s.unit_aware
+  FROM chunk_sets s LEFT JOIN base b USING (corpus_id)),
+marks AS (
+  SELECT text_id, unnest(units).unit_no AS unit_no, unnest(units).start_offset AS start_offset FROM extracted_texts WHERE length(body) > 0),
+units AS (
+  SELECT text_id, unit_no, start_offset AS lo,
+         lead(start_offset) OVER (PARTITION BY text_id ORDER BY start_offset, unit_no) AS hi FROM marks),
+items AS (
+  SELECT text_id, corpus_id, false AS by_unit, 0 AS unit_no, length(body) AS n FROM extracted_texts
+  UNION ALL SELECT t.text_id, corpus_id, true, 0, coalesce(min(u.lo), length(any_value(body)))
+    FROM extracted_texts t LEFT JOIN units u USING (text_id) GROUP BY t.text_id, corpus_id
+  UNION ALL SELECT text_id, corpus_id, true, unit_no, coalesce(hi, length(body)) - lo FROM extracted_texts JOIN units USING (text_id))
+SELECT chunk_set_id, text_id, unit_no FROM items JOIN sets ON sets.corpus_id = items.corpus_id AND sets.unit_aware = items.by_unit
+WHERE n > most"""
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_reply_trees": p1_reply_trees,
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
+    "p7_ids": p7_ids,
+    "p8_found": p8_found,
+    "p8_leaks_by_suite": p8_leaks_by_suite,
+    "p9_found": p9_found,
+    "p9_composition": p9_composition,
+}
+
+SQL = {"p1_found": _P1_SQL, "p4_found": _P4_SQL}
 
 
 def queries() -> dict:
