@@ -35,7 +35,7 @@ def p4_pieces(spark, d):
         .groupBy("chunk_set_id")
         .agg(
             F.count("*").alias("pieces"),
-            F.count_if("piece_no = 1").alias("items"),
+            F.count_if(F.col("piece_no") == 1).alias("items"),
             F.max(F.col("end_offset") - F.col("start_offset") - limit).alias("over_limit"),
         )
     )
