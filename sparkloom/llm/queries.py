@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import conversations as conv
 from sparkloom.llm import encode as enc
-from sparkloom.llm import leakage, splitting, subjects
+from sparkloom.llm import handwritten, leakage, splitting, subjects
 from sparkloom.runtime import table
 
 
@@ -21,6 +21,18 @@ def p1_reply_trees(spark, d):
     return trees.groupBy("session_id").agg(F.sum("n").alias("messages"), F.count("*").alias("trees"), F.max("n").alias("largest_tree"))
 
 
+def p3_found(spark, d):
+    told = handwritten.classify(table(spark, d, "source_files"), table(spark, d, "sources"))
+    return told.filter("is_produced").select("file_id")
+
+
+def p3_evidence(spark, d):
+    """Files by what marks them, beside what the sources' own globs say."""
+    told = handwritten.classify(table(spark, d, "source_files"), table(spark, d, "sources"))
+    by = F.when(F.size("marks") > 0, F.array_join("marks", "+")).when(F.col("pattern").isNotNull(), "path").when(F.col("is_produced"), "copy").otherwise("none")
+    return told.groupBy(by.alias("evidence"), "declared").agg(F.count("*").alias("files"))
+
+
 def p4_found(spark, d):
     return splitting.oversized_items(table(spark, d, "extracted_texts"), table(spark, d, "chunk_sets"))
 
@@ -120,6 +132,8 @@ WHERE n > most"""
 QUERIES = {
     "p1_found": p1_found,
     "p1_reply_trees": p1_reply_trees,
+    "p3_found": p3_found,
+    "p3_evidence": p3_evidence,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p7_ids": p7_ids,
