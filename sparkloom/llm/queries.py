@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import conversations as conv
 from sparkloom.llm import encode as enc
-from sparkloom.llm import handwritten, leakage, splitting, subjects
+from sparkloom.llm import handwritten, leakage, markup, splitting, subjects
 from sparkloom.runtime import table
 
 
@@ -53,6 +53,16 @@ def p4_pieces(spark, d):
     )
 
 
+def p6_found(spark, d):
+    return markup.markup_kinds(table(spark, d, "extracted_texts"))
+
+
+def p6_clean(spark, d):
+    """Every text without its markup, sections moved along."""
+    told = markup.clean_texts(table(spark, d, "extracted_texts"))
+    return told.select("text_id", F.array_join("markup", ",").alias("markup"), "clean_body", F.size("sections").alias("sections"))
+
+
 def p7_ids(spark, d):
     return enc.encode(table(spark, d, "documents"))
 
@@ -136,6 +146,8 @@ QUERIES = {
     "p3_evidence": p3_evidence,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p6_found": p6_found,
+    "p6_clean": p6_clean,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_leaks_by_suite": p8_leaks_by_suite,
