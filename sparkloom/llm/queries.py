@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import conversations as conv
 from sparkloom.llm import encode as enc
-from sparkloom.llm import handwritten, leakage, markup, splitting, subjects
+from sparkloom.llm import credentials, handwritten, leakage, markup, splitting, subjects
 from sparkloom.runtime import table
 
 
@@ -53,6 +53,19 @@ def p4_pieces(spark, d):
     )
 
 
+def _texts_with_code(spark, d):
+    return [table(spark, d, name) for name in ("source_files", "git_documents", "extracted_texts")]
+
+
+def p5_found(spark, d):
+    """Lines, each once, on which a credential begins."""
+    return credentials.places(*_texts_with_code(spark, d)).select("record_table", "record_id", "line_no").distinct()
+
+
+def p5_masked(spark, d):
+    return credentials.redact(*_texts_with_code(spark, d))
+
+
 def p6_found(spark, d):
     return markup.markup_kinds(table(spark, d, "extracted_texts"))
 
@@ -146,6 +159,8 @@ QUERIES = {
     "p3_evidence": p3_evidence,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p5_masked": p5_masked,
     "p6_found": p6_found,
     "p6_clean": p6_clean,
     "p7_ids": p7_ids,
