@@ -393,6 +393,8 @@ def _stands(text: str) -> bool:
         return True
     if _PLACEHOLDER.match(text) or re.match(r"[$%<]|\{\{", text):
         return False
+    if re.fullmatch(r"[A-Za-z]+(?:[_.-][A-Za-z]+)*", text) and name_class(text) != "none":
+        return False  # the name of a secret, as in a look-up
     return len(text) >= 4
 
 
