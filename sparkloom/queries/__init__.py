@@ -1,8 +1,8 @@
 """The registered queries of the core and their SQL."""
 
-from sparkloom.queries import incremental
+from sparkloom.queries import incremental, retrieval
 
-MODULES = (incremental,)
+MODULES = (incremental, retrieval)
 
 
 def queries() -> dict:
