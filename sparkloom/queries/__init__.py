@@ -1,8 +1,8 @@
 """The registered queries of the core and their SQL."""
 
-from sparkloom.queries import incremental, retrieval
+from sparkloom.queries import catalogue, incremental, retrieval
 
-MODULES = (incremental, retrieval)
+MODULES = (incremental, retrieval, catalogue)
 
 
 def queries() -> dict:
