@@ -1,8 +1,8 @@
 """The registered queries of the core and their SQL."""
 
-from sparkloom.queries import catalogue, incremental, retrieval
+from sparkloom.queries import catalogue, evaluation, incremental, retrieval
 
-MODULES = (incremental, retrieval, catalogue)
+MODULES = (incremental, retrieval, catalogue, evaluation)
 
 
 def queries() -> dict:
