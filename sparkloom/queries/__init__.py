@@ -1,8 +1,8 @@
 """The registered queries of the core and their SQL."""
 
-from sparkloom.queries import catalogue, evaluation, incremental, retrieval
+from sparkloom.queries import catalogue, evaluation, incremental, pipeline, retrieval
 
-MODULES = (incremental, retrieval, catalogue, evaluation)
+MODULES = (incremental, retrieval, catalogue, evaluation, pipeline)
 
 
 def queries() -> dict:
