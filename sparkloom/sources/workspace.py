@@ -32,7 +32,8 @@ def walk(spark: SparkSession, root: str, include: list[str] | None = None, exclu
     """Every file under ``root``: path, size, modified, content and the first reason to skip it, null if it is read.
 
     ``ignore`` holds (directory, rules) from the root downwards; a rule of a deeper directory, then of the
-    exclude list, outranks those before it. An include list is a separate set a file must match.
+    exclude list, outranks those before it. An include list is a separate set a file must match. Spark's file
+    sources leave files of size 0 out of every scan, so these have no row here.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.expr("substring(path, instr(path, '" + root.rstrip("/").replace("'", "\\'") + "') + " + str(len(root.rstrip("/")) + 1) + ")")
@@ -54,7 +55,6 @@ def walk(spark: SparkSession, root: str, include: list[str] | None = None, exclu
         F.when(F.col("relative_path").rlike(r"(^|/)\.git(/|$)"), "git plumbing")
         .when(ignored, "ignored")
         .when(~included, "not included")
-        .when(F.col("length") == 0, "empty file")
         .when(F.col("length") > F.when(is_document, DOCUMENT_CAP).otherwise(max_bytes), "over the size cap")
         .when(~is_document & F.hex(F.substring("content", 1, BINARY_PROBE)).rlike("^(?:..)*?00"), "binary")
     )
