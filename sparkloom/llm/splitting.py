@@ -149,6 +149,8 @@ def items_of(length: int, units: list[dict] | None, unit_aware: bool) -> list[tu
 
 def effective_sets(chunk_sets: DataFrame) -> DataFrame:
     """Each set with its null settings taken from its corpus's default set (of several the lowest id), then from constants."""
+    settings = ["chunk_set_id", "corpus_id", "chunk_size", "chunk_overlap", "boundary_mode", "custom_pattern", "unit_aware", "is_default", "chars_per_token"]
+    chunk_sets = chunk_sets.select(*settings)
     base = chunk_sets.filter("is_default").groupBy("corpus_id").agg(
         F.min(F.struct("chunk_set_id", "chunk_size", "chunk_overlap", "boundary_mode", "custom_pattern")).alias("base")
     )
