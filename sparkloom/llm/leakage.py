@@ -148,6 +148,8 @@ class Passages:
             for start in range(max(0, first - size + SEED_WORDS), min(length - size, last) + 1):
                 if present[start + size] - present[start] < size - allowed:
                     continue
+                if present[start] == present[start + 1] or present[start + size] == present[start + size - 1]:
+                    continue  # a stretch begins and ends with words that are held
                 plus, minus, score = full, 0, size
                 for word in text:
                     eq = (masks.get(word, 0) >> start) & full
