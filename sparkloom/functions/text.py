@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: words that are no terms, and the lengths a term may have
@@ -59,6 +59,14 @@ def terms(text: Column) -> Column:
     return F.filter(tokenize(text), lambda t: F.length(t).between(MIN_TERM, MAX_TERM) & ~F.array_contains(stop, t))
 
 
+def term_rows(frame: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term) for every occurrence: :func:`terms` spread out, step by step so that no lambda is interpreted."""
+    runs = frame.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(_RUN), F.lit(0))).alias("_run"))
+    parts = F.split("_run", _INNER)
+    spread = runs.select(key, F.explode(F.when(F.size(parts) > 1, F.concat(F.array("_run"), parts)).otherwise(F.array("_run"))).alias("_part"))
+    return spread.select(key, F.lower("_part").alias("term")).filter(F.length("term").between(MIN_TERM, MAX_TERM) & ~F.col("term").isin(*STOP_WORDS))
+
+
 def term_hash(term: Column) -> Column:
     """FNV-1a over UTF-8 bytes, 32 bits, masked to 31: the same in every process."""
     pairs = F.transform(

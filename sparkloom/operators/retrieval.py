@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
-from sparkloom.runtime import broadcast_if_small, collect_bounded
+from sparkloom.runtime import broadcast_if_small, collect_bounded, cut_lineage
 
 RRF_K = 2
 DBSF_DEGENERATE = 0.5
@@ -26,8 +26,7 @@ OVER_FETCH_FACTOR, OVER_FETCH_MOST = 16, 400
 
 def postings(chunks: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, term, tf). Chunks without a term have no rows."""
-    rows = chunks.select(key, F.explode(X.terms(F.col(text))).alias("term"))
-    return rows.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return X.term_rows(chunks, key, text).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def keyword_scores(chunks: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query_key: str = "item_id", query: str = "query_text") -> DataFrame:
@@ -37,9 +36,9 @@ def keyword_scores(chunks: DataFrame, queries: DataFrame, key: str = "doc_id", t
     """
     asked = postings(queries, query_key, query).withColumnRenamed("tf", "qtf")
     wanted = asked.select("term").distinct()
-    # the array of each chunk is cut to query terms before it is spread; counting needs the filtered rows only
-    rows = chunks.select(key, F.explode(X.terms(F.col(text))).alias("term"))
-    held = rows.join(broadcast_if_small(wanted, 500_000), "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"))
+    # texts are read once: document frequencies and scores both start from the postings of the query terms
+    rows = X.term_rows(chunks, key, text).join(broadcast_if_small(wanted, 500_000), "term", "left_semi")
+    held = cut_lineage(rows.groupBy(key, "term").agg(F.count("*").alias("tf")))
     total = chunks.agg(F.count("*").alias("n"))
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(total)).select("term", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))

@@ -26,8 +26,22 @@ def local_session(cpus: int | str = 8, memory: str = "8g", app: str = "sparkloom
     return spark
 
 
+#: Tables whose rows are expensive to work on, so that a scan narrower than the cluster would leave cores idle.
+TEXT_TABLES = frozenset(("documents", "source_files", "git_documents", "extracted_texts", "transcript_records", "embeddings"))
+
+
+def spread_if_narrow(df: DataFrame) -> DataFrame:
+    """Deal rows out over all cores if the scan has fewer partitions than there are cores.
+
+    That is so for a table in one small file. A table of many files comes back as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_if_narrow(df) if name in TEXT_TABLES else df
 
 
 def shared_folder(spark: SparkSession) -> str:
