@@ -42,11 +42,11 @@ _PLACEHOLDER = re.compile(
 )
 _FAKE = re.compile(r"(?i)x{6,}|\*{3,}|\.{3}|0{8,}|1234567|abcdefg|example|placeholder|your[-_]|changeme|dummy")
 _SIGNS = re.compile(
-    r"(?i)passw|passphrase|passcode|\bpwd|[_.]pwd|pwd\b|secret|token|api[-_]?key|kennwort|contrase|clave|credential|bearer\b|\bbasic\s|authori[sz]ation|proxy[-_]?auth|auth|(?:access|[a-z]er|ing|service|client|account|private|auth)[-_ ]?key|://[^/\s\"'<>`@]*:[^/\s\"'<>`]*@|\s-u\s+[^\s:]+:|--user|PRIVATE KEY|AKIA[A-Z0-9]|\bgh[pousr]_|glpat-|xox[abprs]-|\bsk-[a-z0-9]|\b[a-z]{2,4}_(?:live|prod|test)_|\b[a-z]{2,4}k_|eyJ[\w-]{8,}\."
+    r"(?i)passw|passphrase|passcode|\bpwd|[_.]pwd|pwd\b|secret|token|api[-_ ]?key|kennwort|contrase|clave|credential|bearer\b|\bbasic\s|authori[sz]ation|proxy[-_]?auth|auth|(?:access|[a-z]er|ing|service|client|account|private|auth)[-_ ]?key|://[^/\s\"'<>`@]*:[^/\s\"'<>`]*@|\s-u\s+[^\s:]+:|--user|PRIVATE KEY|AKIA[A-Z0-9]|\bgh[pousr]_|glpat-|xox[abprs]-|\bsk-[a-z0-9]|\b[a-z]{2,4}_(?:live|prod|test)_|\b[a-z]{2,4}k_|eyJ[\w-]{8,}\."
 )
 #: Substrings of lower-case lines without which no sign can match; they spare most lines the pattern.
 _CHEAP = ("passw", "passphrase", "passcode", "pwd", "secret", "token", "key", "kennwort", "contrase", "clave", "credential", "bearer", "basic", "auth", "://", "-u ", "--user", "akia", "_live_", "_prod_", "_test_", "k_", "gh", "glpat-", "xox", "sk-", "eyj")
-_ATOM = re.compile(r"-----(?:BEGIN|END) [A-Z0-9 ]+-----|->|=>|:=|[^\s\"'`;,(){}\[\]=]+|\s+|.", re.S)
+_ATOM = re.compile(r"[+-](?=-----(?:BEGIN|END) )|-----(?:BEGIN|END) [A-Z0-9 ]+-----|->|=>|:=|[^\s\"'`;,(){}\[\]=]+|\s+|.", re.S)
 _URL = re.compile(r"([a-zA-Z][\w+.-]*:?//)([^/\s:@]*)(:)(.*)(@)([^@]*)$")
 _LOGIN = re.compile(r"([\w.-]+)(:)(\S+)$")
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
@@ -81,7 +81,7 @@ def atoms(text: str) -> list[tuple[str, int]]:
 
 
 def name_class(word: str) -> str:
-    """What a name says of its value: ``pass``, ``key``, ``auth``, ``safe`` or ``none``."""
+    """What a name says of its value: ``pass``, ``auth``, ``safe`` or ``none``."""
     parts = [p.lower() for p in _CAMEL.findall(word)] or [word.lower()]
     flat = "".join(parts)
     if _HARMLESS.intersection(parts):
@@ -89,7 +89,7 @@ def name_class(word: str) -> str:
     if _SECRET_WORDS.intersection(parts) or flat in _SECRET_WORDS or flat.endswith(("password", "passwd", "passphrase", "secret", "token")):
         return "pass"
     if parts[-1] == "key" and (len(parts) > 1 and _KEY_OWNERS.intersection(parts[:-1])) or flat.endswith("apikey"):
-        return "key"
+        return "pass"
     if "auth" in parts or "authorization" in parts:
         return "auth"
     return "none"
@@ -178,9 +178,9 @@ def features(line: list[tuple[str, int]]) -> list[list[str]]:
             low = word.lower()
             if low in ("is", "gilt", "still", "ist"):
                 op = low
-            kind = name_class(word) if not (op and name in ("pass", "key", "auth") and shape(word) in "23h") else "none"
+            kind = name_class(word) if not (op and name in ("pass", "auth") and shape(word) in "23h") else "none"
             if low == "key" and word_before.lower() in _KEY_OWNERS:
-                kind = "key"
+                kind = "pass"
             if low.startswith("--") and len(low) > 3:
                 kind = name_class(low[2:])
             if kind != "none" and low not in ("basic", "bearer"):
