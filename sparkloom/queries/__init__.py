@@ -1,8 +1,8 @@
 """The registered queries of the core and their SQL."""
 
-from sparkloom.queries import catalogue, evaluation, incremental, pipeline, retrieval
+from sparkloom.queries import catalogue, evaluation, incremental, pipeline, retrieval, storing
 
-MODULES = (incremental, retrieval, catalogue, evaluation, pipeline)
+MODULES = (incremental, retrieval, catalogue, evaluation, pipeline, storing)
 
 
 def queries() -> dict:
