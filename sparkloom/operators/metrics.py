@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 CUTOFFS = (1, 3, 5)
 RESAMPLES = 5000
+BUCKETS = 1024
 
 
 def quality(ranks: DataFrame, by: list[str]) -> DataFrame:
@@ -29,7 +30,16 @@ def sweep(runs: DataFrame, axes: list[str], value: str) -> DataFrame:
 def auc(scored: DataFrame, score: str, positive: str) -> DataFrame:
     """Area under the curve by rank sums, ties counted half. Ranks come from counts per score, so equal scores may abound."""
     counts = scored.filter(F.col(score).isNotNull()).groupBy(score).agg(F.count_if(positive).alias("p"), F.count_if(~F.col(positive)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # negatives below each score: those of lower buckets, then those below within its bucket
+    ends = scored.agg(F.min(score).alias("_low"), F.max(score).alias("_high"))
+    place = F.floor((F.col(score) - F.col("_low")) / F.greatest(F.col("_high") - F.col("_low"), F.lit(1e-300)) * BUCKETS)
+    counts = counts.join(F.broadcast(ends)).withColumn("_bucket", place)
+    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy("_bucket").agg(F.sum("n").alias("_n"))  # at most BUCKETS + 1 rows
+    sums = sums.select("_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_bucket").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("_before") + F.coalesce(F.sum("n").over(within), F.lit(0))
+    counts = counts.join(F.broadcast(sums), "_bucket")
     pairs = counts.withColumn("below", below).agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("s"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return pairs.select(F.round(F.col("s") / (F.col("p") * F.col("n")), 6).alias("auc"), F.col("p").alias("positives"), F.col("n").alias("negatives"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sparkloom.operators import chunker, metrics
+from sparkloom.operators import blocks, chunker, metrics
 from sparkloom.operators import retrieval as R
 from sparkloom.queries import retrieval as RQ
 from sparkloom.runtime import table
@@ -109,18 +109,16 @@ def git_sections(spark, d):
 def transcript_sections(spark, d):
     """Sections of a session by change of speaker, with the lines each covers."""
     rows = table(spark, d, "transcript_records").filter("rec_type in ('user', 'assistant')").groupBy("session_id", "line_no").agg(F.max_by("rec_type", "record_id").alias("rec_type"))
-    order = Window.partitionBy("session_id").orderBy("line_no")
-    turned = rows.withColumn("turn", F.coalesce((F.lag("rec_type").over(order) != F.col("rec_type")).cast("int"), F.lit(1)))
-    numbered = turned.withColumn("section_no", F.sum("turn").over(order))
-    return numbered.groupBy("session_id", "section_no").agg(F.first("rec_type").alias("speaker"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
+    return blocks.runs(rows, "session_id", "line_no", "rec_type").groupBy("session_id", F.col("run").alias("section_no")).agg(
+        F.first("rec_type").alias("speaker"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line")
+    )
 
 
 def stitch_gaps(spark, d):
-    """Where the lines of a session's records break off: each gap after the furthest line seen so far."""
+    """Where the lines of a session's records break off: each gap after the line before it."""
     rows = table(spark, d, "transcript_records").select("session_id", "line_no").distinct()
-    order = Window.partitionBy("session_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    through = F.coalesce(F.max("line_no").over(order), F.lit(0))
-    return rows.withColumn("through", through).filter("line_no > through + 1").select("session_id", (F.col("through") + 1).alias("gap_from"), (F.col("line_no") - 1).alias("gap_to"))
+    seen = blocks.with_previous(rows, "session_id", "line_no", "line_no").withColumn("through", F.coalesce("previous", F.lit(0)))
+    return seen.filter("line_no > through + 1").select("session_id", (F.col("through") + 1).alias("gap_from"), (F.col("line_no") - 1).alias("gap_to"))
 
 
 def boundary_lines(spark, d):
