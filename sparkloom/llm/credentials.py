@@ -30,9 +30,12 @@ MASK = "****"
 O, B, I = 0, 1, 2  # noqa: E741
 
 # fixed values: prefixes of issued tokens, words for secrets, words that make a name harmless, placeholder words
-_PREFIX = re.compile(
-    r"(?:AKIA|ASIA)[A-Z0-9]{16}$|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_\w{20,}|glpat-[\w-]{16,}|xox[abprs]-[\w-]{10,}|sk-[A-Za-z0-9_-]{20,}|AIza[\w-]{30,}|(?:[a-z]{2,4})_(?:live|prod|test)_[A-Za-z0-9]{12,}|[a-z]{2,4}k_[\w-]{24,}|npm_[A-Za-z0-9]{20,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}"
-)
+_PREFIXES = (
+    (r"(?:AKIA|ASIA)", r"[A-Z0-9]{16}$"), (r"gh[pousr]_", r"[A-Za-z0-9]{20,}"), (r"github_pat_", r"\w{20,}"), (r"glpat-", r"[\w-]{16,}"), (r"xox[abprs]-", r"[\w-]{10,}"),
+    (r"sk-", r"[A-Za-z0-9_-]{20,}"), (r"AIza", r"[\w-]{30,}"), (r"(?:[a-z]{2,4})_(?:live|prod|test)_", r"[A-Za-z0-9]{12,}"), (r"[a-z]{2,4}k_", r"[\w-]{24,}"), (r"npm_", r"[A-Za-z0-9]{20,}"),
+    (r"eyJ", r"[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}"),
+)
+_PREFIX = re.compile("|".join(head + tail for head, tail in _PREFIXES))
 _PREFIX_START = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{0,15}$|gh[pousr]_\w*$|glpat-[\w-]*$|xox[abprs]-[\w-]*$|sk-[A-Za-z0-9]*$|[a-z]{2,4}_(?:live|prod|test)_\w*$|[a-z]{2,4}k_[\w-]*$")
 _SECRET_WORDS = frozenset("password passwd pwd passphrase passcode pass secret token kennwort passwort contrasena contraseña clave credential credentials authtoken apikey".split())
 _KEY_OWNERS = frozenset("api access auth mailer service signing client private account encryption master secret storage license webhook app admin deploy".split())
@@ -41,15 +44,25 @@ _PLACEHOLDER = re.compile(
     r"(?i)^(?:[<\[{]*(?:your|my|the|some|insert|enter)[-_ ].*|change[-_]?(?:me|it)|replace[-_]?(?:me|this)?|to[-_]?do|tbd|none|null|nil|undefined|true|false|redacted|removed|hidden|masked|example|sample|dummy|placeholder|fixme|n/?a|empty|unset|default|secret|password|passwd|token|key|string|str|value|\.{2,}.*|.*\.{3}.*|.*x{5,}.*|.*\*{3,}.*|.*<[^>]*>.*|(.)\1{5,})$"
 )
 _FAKE = re.compile(r"(?i)x{6,}|\*{3,}|\.{3}|0{8,}|1234567|abcdefg|example|placeholder|your[-_]|changeme|dummy")
+#: What name_class drops from a name, within one atom.
+_BETWEEN = r"[^a-zñ\d\s\"'`;,(){}\[\]=]"
+_OWNERS = "|".join(sorted(_KEY_OWNERS))
+#: Every line with a feature of a name or a prefix matches: the words of names, the owners of keys and the heads of prefixes come from the lists above.
 _SIGNS = re.compile(
-    r"(?i)passw|passphrase|passcode|\bpwd|[_.]pwd|pwd\b|secret|token|api[-_ ]?key|kennwort|contrase|clave|credential|bearer\b|\bbasic\s|authori[sz]ation|proxy[-_]?auth|auth|(?:access|[a-z]er|ing|service|client|account|private|auth)[-_ ]?key|://[^/\s\"'<>`@]*:[^/\s\"'<>`]*@|\s-u\s+[^\s:]+:|--user|PRIVATE KEY|AKIA[A-Z0-9]|\bgh[pousr]_|glpat-|xox[abprs]-|\bsk-[a-z0-9]|\b[a-z]{2,4}_(?:live|prod|test)_|\b[a-z]{2,4}k_|eyJ[\w-]{8,}\."
+    "(?i)"
+    + "|".join(f"{_BETWEEN}*".join(word) for word in sorted(_SECRET_WORDS))
+    + rf"|(?:{_OWNERS})(?:[^\s\"'`;,(){{}}\[\]=]*?|[\W_]*)key|"
+    + "|".join(rf"(?<!\w){head}" for head, _ in _PREFIXES)
+    + r"|contrase|bearer\b|\bbasic\s|auth|(?:[a-z]er|ing)[-_ ]?key|://[^/\s\"'<>`@]*:[^/\s\"'<>`]*@|\s-u\s+[^\s:]+:|--user|PRIVATE KEY|AKIA[A-Z0-9]|glpat-|xox[abprs]-|eyJ[\w-]{8,}\."
 )
-#: Substrings of lower-case lines without which no sign can match; they spare most lines the pattern.
-_CHEAP = ("passw", "passphrase", "passcode", "pwd", "secret", "token", "key", "kennwort", "contrase", "clave", "credential", "bearer", "basic", "auth", "://", "-u ", "--user", "akia", "_live_", "_prod_", "_test_", "k_", "gh", "glpat-", "xox", "sk-", "eyj")
+#: Substrings of lower-case lines without which no sign can match, and words of names that are looked for in lines without the signs of _BETWEEN; they spare most lines the pattern.
+_CHEAP = ("contrase", "key", "bearer", "basic", "auth", "://", "-u ", "--user", "akia", "asia", "aiza", "npm_", "github_pat_", "_live_", "_prod_", "_test_", "k_", "gh", "glpat-", "xox", "sk-", "eyj")
+_CHEAP_NAMES = tuple(sorted(w for w in _SECRET_WORDS if not any(v in w for v in _SECRET_WORDS - {w})))
+_JOINS = re.compile(_BETWEEN + "+")
 _ATOM = re.compile(r"[+-](?=-----(?:BEGIN|END) )|-----(?:BEGIN|END) [A-Z0-9 ]+-----|->|=>|:=|[^\s\"'`;,(){}\[\]=]+|\s+|.", re.S)
 _URL = re.compile(r"([a-zA-Z][\w+.-]*:?//)([^/\s:@]*)(:)(.*)(@)([^@]*)$")
 _LOGIN = re.compile(r"([\w.-]+)(:)(\S+)$")
-_CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+_CAMEL = re.compile(r"[A-ZÑ]?[a-zñ]+|[A-ZÑ]+(?![a-zñ])|\d+")
 _BLOCK_VALUE = re.compile(r"^[^\S\n]*[\w.\"'-]+[^\S\n]*:[^\S\n]*[>|][+-]?[^\S\n]*$")
 
 
@@ -427,22 +440,22 @@ def spans(text: str | None, field: Field) -> list[tuple[int, int, int]]:
     if not text:
         return found
     whole = text.lower()
+    joined = _JOINS.sub("", whole)
     cheap = [sign for sign in _CHEAP if sign in whole]
-    if not cheap:
+    names = [name for name in _CHEAP_NAMES if name in joined]
+    if not cheap and not names:
         return found
     at, before = 0, ""
     lines = text.split("\n")
-    for number, line in enumerate(lines, 1):
+    for number, (line, bare) in enumerate(zip(lines, joined.split("\n")), 1):
         lead, parts = "", ()
         if before and before.rstrip("+-").endswith((">", "|")) and _BLOCK_VALUE.match(before):
             lead = before.split(":")[0].strip() + ": "  # a block value belongs to the name above it
             parts = [(0, line)] * bool(_SIGNS.search(before))
         else:
             low = line.lower()
-            for sign in cheap:
-                if sign in low:
-                    parts = _windows(line)
-                    break
+            if any(name in bare for name in names) or any(sign in low for sign in cheap):
+                parts = _windows(line)
         for offset, part in parts:
             line_atoms = atoms(lead + part.rstrip("\r"))
             path = field.label(line_atoms)

@@ -1,0 +1,42 @@
+import random
+
+from sparkloom.llm import credentials as cred
+
+
+def credentials_of(text):
+    return [text[s:e] for _, s, e in cred.spans(text, cred.fitted())]
+
+
+def test_every_name_and_prefix_passes_the_gate():
+    for word in sorted(cred._SECRET_WORDS):
+        for name in (word, f"admin_{word}", word.upper()):
+            assert credentials_of(f"{name} = 'Corlogate-741%'") == ["Corlogate-741%"], name
+    for owner in sorted(cred._KEY_OWNERS):
+        for name in (f"{owner}_key", f"{owner}MainKey"):
+            assert credentials_of(f"{name} = 'Corlogate-741%'") == ["Corlogate-741%"], name
+    tail = "Q7rT2mXw9LpZ4kVb8NcY3sHd6GfJ1aUe5RtK"
+    issued = ["AKIA" + "Q7RT2MXW4LPZ4KVB", "ASIA" + "Q7RT2MXW4LPZ4KVB", *(f"gh{c}_{tail}" for c in "pousr"), "github_pat_" + tail, "glpat-" + tail[:20], *(f"xox{c}-{tail}" for c in "abprs")]
+    issued += ["sk-" + tail, "AIza" + tail[:35], "orq_live_" + tail, "zk_prod_" + tail, "ab_test_" + tail, "dxk_" + tail, "npm_" + tail, f"eyJ{tail[:12]}.{tail[:14]}.{tail[:20]}"]
+    for token in issued:
+        assert credentials_of(f"place = {token}") == [token], token
+
+
+def test_no_line_with_a_name_or_prefix_is_skipped():
+    rng = random.Random(9)
+    pool = [*cred._SECRET_WORDS, *cred._KEY_OWNERS, "key", "Key", "KEY", "Pass", "auth", "AIza", "npm_", "ASIA", "github_pat_", "k_", "_live_", "to", "ken", "a", "7", "_", "-", ".", "/", "@", ":", "=", " ", "'", "(", "é", "--", "://"]
+    seen = 0
+    for _ in range(20000):
+        line = "".join(rng.choice(pool) for _ in range(rng.randint(1, 6)))
+        given = {f for row in cred.features(cred.atoms(line)) for f in row}
+        if any(f in ("own:pass", "own:auth") or f.startswith(("name:pass", "name:auth", "prefix:")) for f in given):
+            seen += 1
+            asked = []
+
+            class Recorder:
+                def label(self, line):
+                    asked.append(line)
+                    return [cred.O] * len(line)
+
+            cred.spans(line, Recorder())
+            assert asked, line
+    assert seen > 5000
