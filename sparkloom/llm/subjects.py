@@ -3,17 +3,18 @@
 The graph joins sentences through the informative terms they share; it is kept as its two halves, sentence to
 term and term to sentence, so that no pair of documents is ever written out. An edge is verified: a term joins
 sentences only while its labels are concentrated on one subject. Seeds are the hand labels of documents and
-the sample terms of subjects. Each round is two steps:
+the sample terms of subjects. Rounds go on until hardly a term changes sides; each is two steps:
 
 * a sentence takes the subjects of its terms; documents are joined with the labels, and a sentence of a seed
   document is clamped to its labels, softly, so that words that clearly say otherwise overrule a wrong label;
 * a term takes the subjects of its sentences (summed within each partition, then by term in one small shuffle).
 
-The terms come from a bounded number of seed documents, so their affinities travel to the sentences as one
-small broadcast array; joining them as a table wrote and shuffled every edge of the corpus twice a round.
+The terms come from a bounded number of seed documents and do not grow between rounds: terms learned from
+reached documents gave subjects to documents of filler alone. So their affinities travel as one small broadcast
+array; joining them as a table wrote and shuffled every edge of the corpus twice a round.
 
-At the end sentences vote within paragraphs, and a document keeps every subject that at least a fifth of it
-is about; program code and commits count as software beside the subjects of their prose.
+At the end sentences, those of seeds clamped, vote within paragraphs, and a document keeps every subject that at
+least a fifth of it is about; program code and commits count as software beside the subjects of their prose.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 
 from sparkloom.runtime import broadcast_if_small, cut_lineage
 
-ROUNDS = 1
+#: Rounds go on until the terms whose leading subject changed hold at most this share of all edges; MAX_ROUNDS only guards against a flip-flop.
+SETTLED = 0.001
+MAX_ROUNDS = 20
 #: Labelled documents from which the first vocabulary is taken at most; more are thinned by a hash of doc_id.
 MAX_SEED_DOCUMENTS = 20_000
 MIN_TERM_DOCUMENTS = 3
@@ -167,15 +170,24 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(column.flatten()), lengths
 
 
-def _sentence_subjects(terms: np.ndarray, degrees: np.ndarray, affinities: np.ndarray, clamps: np.ndarray | None) -> np.ndarray:
+def _clamps(allowed: pa.Array, width: int) -> np.ndarray:
+    """What each document's sentences lose on every subject but its labels; nothing without labels."""
+    clamps = np.zeros((len(allowed), width))
+    for row, subjects in enumerate(allowed.to_pylist()):
+        if subjects:
+            clamps[row] = CLAMP
+            clamps[row, subjects] = 0.0
+    return clamps
+
+
+def _sentence_subjects(terms: np.ndarray, degrees: np.ndarray, affinities: np.ndarray, clamps: np.ndarray) -> np.ndarray:
     """A distribution over subjects for each sentence; all 0 where it has no verified edge."""
     edges = np.zeros((len(terms) + 1, affinities.shape[1]), np.float64)
     np.cumsum(affinities[terms], axis=0, out=edges[1:])
     ends = np.cumsum(degrees)
     scores = edges[ends] - edges[ends - degrees]
     told = np.abs(scores).sum(axis=1) > 1e-9
-    if clamps is not None:
-        scores = scores - clamps
+    scores = scores - clamps
     scores = np.exp(scores - scores.max(axis=1, keepdims=True))
     return scores / scores.sum(axis=1, keepdims=True) * told[:, None]
 
@@ -193,12 +205,7 @@ def _round(graph: DataFrame, allowed: DataFrame, affinities: np.ndarray) -> Data
             terms, _ = _flat(batch.column(1))
             if not len(degrees) or not len(terms):
                 continue
-            clamps = np.zeros((batch.num_rows, width))
-            for row, subjects in enumerate(batch.column(2).to_pylist()):
-                if subjects:
-                    clamps[row] = CLAMP
-                    clamps[row, subjects] = 0.0
-            told = _sentence_subjects(terms, degrees, sent.value, np.repeat(clamps, sentences_of, axis=0))
+            told = _sentence_subjects(terms, degrees, sent.value, np.repeat(_clamps(batch.column(2), width), sentences_of, axis=0))
             by_edge = np.repeat(told, degrees, axis=0)
             for i in range(width):
                 sums[:, i] += np.bincount(terms, by_edge[:, i], size)
@@ -214,8 +221,8 @@ def _round(graph: DataFrame, allowed: DataFrame, affinities: np.ndarray) -> Data
     return rows.mapInArrow(run, kinds).groupBy("term").agg(F.sum("n").alias("n"), *(F.sum(f"v{i}").alias(f"v{i}") for i in range(width)))
 
 
-def _shares(graph: DataFrame, affinities: np.ndarray, subjects: list[str]) -> DataFrame:
-    """The vote: sentences within paragraphs, paragraphs within the document."""
+def _shares(graph: DataFrame, allowed: DataFrame, affinities: np.ndarray, subjects: list[str]) -> DataFrame:
+    """The vote: sentences within paragraphs, paragraphs within the document; those of seeds are clamped as in the rounds."""
     width = len(subjects)
     sent = graph.sparkSession.sparkContext.broadcast(affinities)
     schema = pa.schema([("doc_id", pa.int64()), ("subject", pa.string()), ("share", pa.float64())])
@@ -231,7 +238,7 @@ def _shares(graph: DataFrame, affinities: np.ndarray, subjects: list[str]) -> Da
             terms, _ = _flat(batch.column(5))
             result = np.zeros((batch.num_rows, width))
             if len(degrees):
-                told = _sentence_subjects(terms, degrees, sent.value, None)
+                told = _sentence_subjects(terms, degrees, sent.value, np.repeat(_clamps(batch.column(6), width), sentences_of, axis=0))
                 best = told.argmax(axis=1)
                 sure = told[np.arange(len(told)), best] > SURE
                 doc = np.repeat(np.arange(batch.num_rows), sentences_of)
@@ -253,7 +260,24 @@ def _shares(graph: DataFrame, affinities: np.ndarray, subjects: list[str]) -> Da
                 columns = [batch.column(0).take(pa.array(row)), pa.array([subjects[i] for i in subject]), pa.array(result[row, subject])]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return graph.select("doc_id", "is_code", "paras", "weights", "degrees", "terms").mapInArrow(run, "doc_id long, subject string, share double")
+    rows = graph.join(allowed, "doc_id", "left").select("doc_id", "is_code", "paras", "weights", "degrees", "terms", "allowed")
+    return rows.mapInArrow(run, "doc_id long, subject string, share double")
+
+
+def _settled(graph: DataFrame, allowed: DataFrame, affinities: np.ndarray, fixed: np.ndarray) -> np.ndarray:
+    """The affinities after as many rounds as it takes until hardly a term changes sides."""
+    for _ in range(MAX_ROUNDS):
+        sums, counts = np.zeros(affinities.shape), np.zeros(len(affinities), np.int64)
+        for row in _round(graph, allowed, affinities).collect():
+            sums[row.term], counts[row.term] = list(row)[2:], row.n
+        moved = np.where(_concentrated(sums, counts)[:, None], _logs(sums), 0).astype(np.float32)
+        moved = np.where(fixed[:, None], affinities, moved)
+        side = lambda x: np.where(np.abs(x).sum(axis=1) > 0, x.argmax(axis=1), -1)
+        changed = counts[side(moved) != side(affinities)].sum()
+        affinities = moved
+        if changed <= SETTLED * max(counts.sum(), 1):
+            break
+    return affinities
 
 
 def subject_shares(documents: DataFrame, areas: DataFrame, labels: DataFrame) -> DataFrame:
@@ -293,20 +317,14 @@ def subject_shares(documents: DataFrame, areas: DataFrame, labels: DataFrame) ->
             for term in [sample.lower()] if len(sample.split()) < 3 else [t for t in terms(sample) if " " in t]:
                 samples.setdefault(term, np.zeros(width))[i] = 5.0
     first |= samples
-    vocabulary = sorted(first)
-    if not vocabulary:
+    if not first:
         return spark.createDataFrame([], empty)
-    affinities = _logs(np.stack([first[t] for t in vocabulary]))
-    fixed = np.array([t in samples for t in vocabulary])
-    graph = _graph(documents, vocabulary)
     places = {s: i for i, s in enumerate(subjects)}
     place = F.create_map(*(x for s, i in places.items() for x in (F.lit(s), F.lit(i))))
     allowed = by_doc.select("doc_id", F.transform("subjects", lambda s: place[s]).alias("allowed"))
     allowed = broadcast_if_small(allowed, MAX_BROADCAST_LABELS)
-    for _ in range(ROUNDS):
-        sums, counts = np.zeros(affinities.shape), np.zeros(len(vocabulary), np.int64)
-        for row in _round(graph, allowed, affinities).collect():
-            sums[row.term], counts[row.term] = list(row)[2:], row.n
-        moved = np.where(_concentrated(sums, counts)[:, None], _logs(sums), 0).astype(np.float32)
-        affinities = np.where(fixed[:, None], affinities, moved)
-    return _shares(graph, affinities, subjects)
+    vocabulary = sorted(first)
+    graph = _graph(documents, vocabulary)
+    start = _logs(np.stack([first[t] for t in vocabulary]))
+    affinities = _settled(graph, allowed, start, np.array([t in samples for t in vocabulary]))
+    return _shares(graph, allowed, affinities, subjects)
