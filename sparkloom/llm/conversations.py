@@ -1,14 +1,16 @@
 """Rebuilding conversations from message rows.
 
-Reply links: within a session every message looks back over the ``LOOK_BACK`` messages before it. Each of them
-is scored as a possible parent from the time between the two, the places between them, what the message
-mentions of it (tool-call ids and names) and the words they share; the likeliest is the parent, or none if
-even that score is below ``ROOT_BELOW``. The links form trees. A kept session comes out as one conversation,
+Reply links: within a session every message looks back over the ``LOOK_BACK`` messages before it, and beyond
+them to the last message with a tool-call id or a name it mentions. Each of them is scored as a possible parent
+from the time between the two, the places between them, what the message mentions of it (tool-call ids and
+names) and the words they share; the likeliest is the parent, or none if all are out of the question. That is
+judged without the place, which the message just before always has: time and change of speaker count for the
+same agent only and fade with silence, and with ids, names and words they must reach ``ROOT_BELOW``. The links form trees. A kept session comes out as one conversation,
 its trees interleaved in line order, every message with its parent, its tree and the score of its link.
 
 Nothing here holds a session in one task. Sessions are judged with aggregates, and numbered and linked in
-blocks of ``BLOCK`` lines, each with the last few messages before it; only the handful of links that cross a
-block's start are settled by session.
+blocks of ``BLOCK`` lines, each with the last few messages before it; only the messages that links across a
+block's start lead to are settled by session.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ LOOK_BACK = 6
 BLOCK = 1024
 ROOT_BELOW = 0.18
 TIME_SCALE_S = 900.0
+#: The silence after which a message counts half as going on with the thread: without shared words, names or ids the same agent's thread breaks after one to two hours.
+SILENCE_S = 3600.0
 
 # fixed values: speaker spellings and the spans that hosts inject into messages
 USER_ROLES = ("user", "human")
@@ -135,41 +139,54 @@ def reply_links(turns: DataFrame) -> DataFrame:
     tail = own.filter((F.col("turn_no") - 1) % BLOCK >= BLOCK - LOOK_BACK)
     both = own.unionByName(tail.withColumn("_block", F.col("_block") + 1).withColumn("_own", F.lit(False)))
     back = Window.partitionBy("session_id", "_block").orderBy("turn_no").rowsBetween(-LOOK_BACK, -1)
-    seen = F.collect_list(
-        F.struct("turn_no", "speaker", "recorded_at", "agent_id", "_words", "_names", "calls")
-    ).over(back)
+    candidate = F.struct("turn_no", "speaker", "recorded_at", "agent_id", "_words", "_names", "calls")
+    seen = F.collect_list(candidate).over(back)
+    far = _far_candidates(own).join(own.select("session_id", F.col("turn_no").alias("_far"), candidate.alias("_p")), ["session_id", "_far"])
+    far = far.groupBy("session_id", "turn_no").agg(F.collect_list("_p").alias("_beyond"))
 
-    def score(p: Column) -> Column:
+    def judged(p: Column) -> Column:
         gap = F.abs(F.unix_timestamp("recorded_at") - F.unix_timestamp(p["recorded_at"])).cast("double")
         near_in_time = F.coalesce(F.exp(-gap / TIME_SCALE_S), F.lit(0.3))
         near_in_place = F.lit(1.0) / (F.col("turn_no") - p["turn_no"])
         alternates = (F.col("speaker") != p["speaker"]).cast("double")
         same_agent = F.col("agent_id").eqNullSafe(p["agent_id"]).cast("double")
         answers = F.coalesce(F.arrays_overlap("answers", p["calls"]), F.lit(False)).cast("double")
-        mentions = F.arrays_overlap("_names", p["_names"]).cast("double")
+        mentions = F.coalesce(F.arrays_overlap("_names", p["_names"]).cast("double"), F.lit(0.0))
         union = F.size(F.array_union("_words", p["_words"]))
         shared = F.when(union > 0, F.size(F.array_intersect("_words", p["_words"])) / union).otherwise(0.0)
-        return (
-            0.25 * near_in_time
-            + 0.25 * near_in_place
-            + 0.15 * alternates
-            + 0.10 * same_agent
-            + 0.60 * answers
-            + 0.10 * F.coalesce(mentions, F.lit(0.0))
-            + 0.30 * shared
-        )
+        content = 0.60 * answers + 0.10 * mentions + 0.30 * shared
+        score = 0.25 * near_in_time + 0.25 * near_in_place + 0.15 * alternates + 0.10 * same_agent + content
+        # the same thread going on: what the two have in common but for the place, fading with the silence between them
+        unbroken = F.coalesce(1.0 / (1.0 + gap / SILENCE_S), F.lit(0.6))
+        goes_on = same_agent * (0.35 + 0.15 * alternates) * unbroken
+        return F.struct(score.alias("score"), p["turn_no"].alias("turn"), (goes_on + content >= ROOT_BELOW).alias("fits"))
 
-    best = F.array_max(F.transform("_seen", lambda p: F.struct(score(p).alias("score"), p["turn_no"].alias("turn"))))
-    linked = both.withColumn("_seen", seen).filter("_own").withColumn("_best", best)
-    is_reply = F.coalesce(F.col("_best.score") >= ROOT_BELOW, F.lit(False))
-    return linked.select(
+    linked = both.withColumn("_seen", seen).filter("_own").join(far, ["session_id", "turn_no"], "left")
+    everyone = F.concat("_seen", F.coalesce("_beyond", F.slice("_seen", 1, 0)))
+    best = F.array_max(F.filter(F.transform(everyone, judged), lambda c: c["fits"]))
+    return linked.withColumn("_best", best).select(
         *turns.columns,
-        F.when(is_reply, F.col("_best.turn")).alias("parent_turn"),
-        F.when(is_reply, F.col("_best.score")).alias("link_score"),
+        F.col("_best.turn").alias("parent_turn"),
+        F.col("_best.score").alias("link_score"),
         "_block",
     )
 
 
+def _far_candidates(own: DataFrame) -> DataFrame:
+    """(session_id, turn_no, _far): for each id and name of a message the last one before it that has them, if beyond the look-back."""
+    key = lambda kind, gives, asks: lambda x: F.struct(F.concat(F.lit(kind), x).alias("key"), F.lit(gives).alias("gives"), F.lit(asks).alias("asks"))
+    none = F.array().cast("array<string>")
+    keys = F.concat(
+        F.transform(F.coalesce("_names", none), key("n:", True, True)),
+        F.transform(F.coalesce("calls", none), key("c:", True, False)),
+        F.transform(F.coalesce("answers", none), key("c:", False, True)),
+    )
+    before = Window.partitionBy("session_id", "key").orderBy("turn_no").rangeBetween(Window.unboundedPreceding, -1)
+    found = own.select("session_id", "turn_no", F.explode(keys).alias("k")).select("session_id", "turn_no", "k.*")
+    found = found.withColumn("_far", F.max(F.when(F.col("gives"), F.col("turn_no"))).over(before))
+    return found.filter(F.col("asks") & (F.col("_far") < F.col("turn_no") - LOOK_BACK)).select("session_id", "turn_no", "_far").distinct()
+
+
 def _block_roots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Each message's root, or the message of an earlier block that its links lead to; rows come in turn order."""
     key, roots = None, {}
@@ -197,19 +214,21 @@ def _crossing_roots(frame: pd.DataFrame) -> pd.DataFrame:
 
 def link_trees(linked: DataFrame) -> DataFrame:
     """``linked`` with tree_root, the turn_no of the root of the message's tree."""
-    ordered = linked.select("session_id", "_block", "turn_no", "parent_turn", "record_id").sortWithinPartitions("session_id", "_block", "turn_no")
+    # a block must lie in one partition, however the links were joined
+    ordered = linked.select("session_id", "_block", "turn_no", "parent_turn", "record_id").repartition("session_id", "_block").sortWithinPartitions("session_id", "_block", "turn_no")
     local = ordered.mapInPandas(
         _block_roots, "session_id string, _block long, turn_no int, parent_turn int, record_id long, local_root int"
     )
     starts = F.col("_block") * BLOCK
-    # only the look-back of a block can be the end of a link that crosses its start
-    slots = local.filter((F.col("turn_no") - 1) % BLOCK >= BLOCK - LOOK_BACK).groupBy("session_id").applyInPandas(
+    local = local.withColumn("_crosses", F.col("local_root") <= starts)
+    # the ends of links that cross a block's start, few beside the messages
+    ends = local.filter("_crosses").select("session_id", F.col("local_root").alias("turn_no")).distinct()
+    slots = local.join(ends, ["session_id", "turn_no"], "left_semi").groupBy("session_id").applyInPandas(
         _crossing_roots, "session_id string, turn_no int, root int"
     )
     crossing = slots.withColumnRenamed("turn_no", "local_root")
     roots = (
-        local.withColumn("_crosses", F.col("local_root") <= starts)
-        .join(crossing, ["session_id", "local_root"], "left")
+        local.join(crossing, ["session_id", "local_root"], "left")
         .select("session_id", "turn_no", F.when(F.col("_crosses"), F.col("root")).otherwise(F.col("local_root")).alias("tree_root"))
     )
     return linked.drop("_block").join(roots, ["session_id", "turn_no"])
