@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+DEAL_ROWS = "spark.sparkloom.dealRows"
+
+
 def local_session(cpus: int | str = 8, memory: str = "8g", app: str = "sparkloom") -> SparkSession:
     """A session for tests and benchmarks on one machine; clusters bring their own."""
     spark = (
@@ -18,6 +23,7 @@ def local_session(cpus: int | str = 8, memory: str = "8g", app: str = "sparkloom
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(DEAL_ROWS, "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -26,34 +32,32 @@ def local_session(cpus: int | str = 8, memory: str = "8g", app: str = "sparkloom
     return spark
 
 
-#: Tables whose rows are expensive to work on, so that a scan narrower than the cluster would leave cores idle.
+#: Tables whose rows are expensive to work on. A session on one machine deals the rows of their single files out over its cores.
 TEXT_TABLES = frozenset(("documents", "source_files", "git_documents", "extracted_texts", "transcript_records", "embeddings"))
 
 
-def spread_if_narrow(df: DataFrame) -> DataFrame:
-    """Deal rows out over all cores if the scan has fewer partitions than there are cores.
-
-    That is so for a table in one small file. A table of many files comes back as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as it lies. Only a session made by :func:`local_session` deals text tables out: there they are one file each."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread_if_narrow(df) if name in TEXT_TABLES else df
+    if name in TEXT_TABLES and spark.conf.get(DEAL_ROWS, "false") == "true":
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the setting is absent (a local test session) is a temporary folder made.
+    Only a session on one machine may leave the setting out; it gets a temporary folder, removed when Python ends.
     """
-    set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    folder = set_by_cluster or tempfile.mkdtemp(prefix="sparkloom-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="sparkloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -64,6 +68,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_by_key(df: DataFrame, key: str) -> DataFrame:
+    """:func:`cut_lineage` of ``df`` partitioned by ``key``; groupings and joins by that key then need no shuffle of it.
+
+    A plan made adaptively forgets how its result is partitioned, so this one is made without.
+    """
+    spark = df.sparkSession
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut_lineage(df.repartition(width, key))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Hint a broadcast only after counting that ``df`` has at most ``max_rows`` rows.
 
