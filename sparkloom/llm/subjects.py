@@ -48,8 +48,8 @@ CONCENTRATION = 0.5
 #: What a term is taken to hold of a subject it never meets, in documents or sentences.
 NONE = 0.02
 SURE = 0.6
-#: A label is trusted while its subject has this share by the document's own edges, and no other one more than the second.
-TRUSTED_LEAST, TRUSTED_OTHER = 0.08, 0.33
+#: A label is trusted while its subject has the first share by the document's own edges, and no other one more than the second; only sentences this sure speak against a label.
+TRUSTED_LEAST, TRUSTED_OTHER, TRUST_SURE = 0.08, 0.33, 0.98
 #: A fifth, less what filler sentences take: they are counted in but belong to no subject of their own.
 SHARE = 0.165
 CODE_SHARE = 0.2
@@ -252,7 +252,7 @@ def _settled(graph: DataFrame, labels: DataFrame, fixed: DataFrame, size: int, w
     return labels
 
 
-def _shares(graph: DataFrame, labels: DataFrame, width: int, rest: list[str]) -> DataFrame:
+def _shares(graph: DataFrame, labels: DataFrame, width: int, rest: list[str], least: float = SURE) -> DataFrame:
     """(rest…, shares): sentences vote within paragraphs, paragraphs within the document."""
     kinds = [f for f in graph.schema.fields if f.name in rest]
     out = T.StructType([*kinds, T.StructField("shares", T.ArrayType(T.DoubleType()))])
@@ -265,7 +265,7 @@ def _shares(graph: DataFrame, labels: DataFrame, width: int, rest: list[str]) ->
             result = np.zeros((batch.num_rows, width))
             if len(rows.paras):
                 best = rows.told.argmax(axis=1)
-                sure = rows.told[np.arange(len(best)), best] > SURE
+                sure = rows.told[np.arange(len(best)), best] > least
                 _, para = np.unique(rows.doc.astype(np.int64) << 32 | rows.paras, return_inverse=True)
                 owner = np.zeros(para.max() + 1, np.int64)
                 owner[para] = rows.doc
@@ -286,7 +286,7 @@ def _shares(graph: DataFrame, labels: DataFrame, width: int, rest: list[str]) ->
 def _trusted(graph: DataFrame, labels: DataFrame, width: int, code_at: int) -> DataFrame:
     """(uid, trusted) of the labelled documents whose own edges do not contradict their labels."""
     labelled = graph.filter("labels IS NOT NULL").withColumn("trusted", F.lit(None).cast("array<int>"))
-    own = _shares(labelled, labels, width, ["uid", "is_code", "labels"])
+    own = _shares(labelled, labels, width, ["uid", "is_code", "labels"], TRUST_SURE)
     own = own.selectExpr("uid", "labels", f"transform(shares, (x, i) -> if(is_code AND i = {code_at}, 1D, x)) AS shares")
     fits = f"""forall(shares, x -> x = 0) OR (forall(labels, l -> shares[l] >= {TRUSTED_LEAST})
         AND forall(sequence(0, {width - 1}), i -> array_contains(labels, i) OR shares[i] <= {TRUSTED_OTHER}))"""
