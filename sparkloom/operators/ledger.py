@@ -10,17 +10,19 @@ Two forms share these rules:
 
 * :func:`replay` reads the whole history of walks and progress reports and rebuilds the ledger as it stood
   when each job began, with window functions over each file's own history.
-* :class:`WorkLedger` is the live form: an append-only event table in a shared folder. A commit is one atomic
-  marker file, output paths derive from token and item, so a retried task overwrites its own output and
-  nothing else.
+* :class:`WorkLedger` is the live form in a shared folder. What becomes of a lease is one atomic file, so that of a
+  commit and a revocation only one can win; output paths derive from the token, so a retried task overwrites its own
+  output and nothing else.
 """
 
 from __future__ import annotations
 
+import os
 import uuid
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timedelta
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +30,8 @@ from pyspark.sql import types as T
 from sparkloom.runtime import broadcast_if_small
 
 COMMITTED = "Succeeded"
+#: Last words of jobs that still hold their leases.
+HOLDING = ("Running", "Queued")
 MAX_BROADCAST_JOBS = 200_000
 
 
@@ -71,9 +75,12 @@ def jobs_in_order(progress: DataFrame) -> DataFrame:
 def replay(candidates: DataFrame, progress: DataFrame) -> DataFrame:
     """The ledger's entry for each file of each job, as it stood when the job began.
 
-    Columns: job_id, candidate_id, source_id, path, token, job_state, sha256, recorded_sha256, is_case,
-    item_state. ``item_state`` is ``done`` (nothing to do, or done by this job) or ``pending`` (a case whose
-    job did not commit, so its lease expired).
+    Columns: job_id, candidate_id, source_id, path, token, job_state, sha256, recorded_sha256, recorded_token,
+    is_case, item_state. A job holds its items under ``token``; the record of an item is the write of the highest
+    committed token below that, so a late writer with a lower token never replaces a later one's. ``item_state`` is
+    where the item stands after the job's last word: ``done`` (nothing to do, or committed under a token above the
+    record's), ``leased`` (a case of a job that still runs) or ``pending`` (a case whose job ended without a commit,
+    so that its lease expired).
 
     Of a file's rows in one job the lowest candidate_id counts, whenever it landed. Hashes compare in lower
     case. A null hash is never a case and leaves the record as it is. A file that a committed job did not list
@@ -118,11 +125,16 @@ def replay(candidates: DataFrame, progress: DataFrame) -> DataFrame:
     entries = entries.withColumn(
         "last_commit", F.last(F.when(done, F.struct(F.col("commits_before").alias("no"), "run")), True).over(before)
     ).withColumn(
-        "last_hash", F.last(F.when(done & F.col("sha256").isNotNull(), F.struct("run", "sha256")), True).over(before)
+        "last_hash", F.last(F.when(done & F.col("sha256").isNotNull(), F.struct("run", "sha256", "token")), True).over(before)
     )
     on_record = (F.col("last_commit.no") + 1 == F.col("commits_before")) & (F.col("last_hash.run") == F.col("last_commit.run"))
     entries = entries.withColumn("recorded_sha256", F.when(on_record, F.col("last_hash.sha256")))
+    entries = entries.withColumn("recorded_token", F.when(on_record, F.col("last_hash.token")))
     case = F.col("sha256").isNotNull() & ~F.col("sha256").eqNullSafe(F.col("recorded_sha256"))
+    newer = F.col("recorded_token").isNull() | (F.col("token") > F.col("recorded_token"))
+    state = (
+        F.when(~case | (done & newer), "done").when(F.coalesce(F.col("job_state").isin(*HOLDING), F.lit(False)), "leased").otherwise("pending")
+    )
     return entries.select(
         "job_id",
         "candidate_id",
@@ -132,8 +144,9 @@ def replay(candidates: DataFrame, progress: DataFrame) -> DataFrame:
         "job_state",
         "sha256",
         "recorded_sha256",
+        "recorded_token",
         case.alias("is_case"),
-        F.when(case & ~done, "pending").otherwise("done").alias("item_state"),
+        state.alias("item_state"),
     )
 
 
@@ -171,7 +184,7 @@ def skip_audit(candidates: DataFrame, progress: DataFrame) -> DataFrame:
 
 
 class StaleWriter(RuntimeError):
-    """The writer's fencing token is older than one already granted or committed."""
+    """The writer's lease was revoked or given up: its fencing token no longer stands."""
 
 
 @dataclass(frozen=True)
@@ -179,6 +192,7 @@ class Lease:
     token: int
     holder: str
     expires_at: datetime
+    attempt: str
 
 
 EVENTS = T.StructType(
@@ -188,95 +202,165 @@ EVENTS = T.StructType(
         T.StructField("token", T.LongType(), False),
     ]
 )
+COMMIT, REVOKED, GIVEN_UP = "committed", "revoked", "given up"
 
 
 class WorkLedger:
     """A live ledger in a shared folder.
 
-    Layout: ``leases/<token>`` holds one small file per lease, ``items/token=<n>`` the items that lease covers,
-    ``commits/<token>`` an empty marker that makes lease n's items done. Tokens grow by one and a lease file is
-    created only if absent, so two holders can never get the same token. States follow from the files alone:
+    Layout: ``items/<attempt>`` holds the items of a lease, written before ``leases/<token>``, the small file that
+    grants it and names the attempt; ``verdicts/<token>`` says what became of it; ``renewals`` holds heartbeats as file
+    names; ``snapshots/<token>`` names a folded table of all that was done up to that token. Tokens grow by one.
+    Every such file is created whole and only if absent (a hard link on a local disk, a rename that refuses to
+    overwrite elsewhere; a store without such a rename will not do). States follow from the files alone:
 
     * done: the item's version equals the one of the highest committed token that covers it;
-    * leased: covered by an uncommitted lease that has not expired;
+    * leased: covered by a lease without a verdict;
     * pending: neither.
+
+    An expired lease is revoked, by its verdict, before its items are given out again; a holder commits by the same
+    file, so never both. A holder that finds its items under a lower token that it had not seen gives its lease up.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
-        for part in ("leases", "items", "commits"):
+        self._jvm = spark._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
+        self._conf = spark._jsc.hadoopConfiguration()
+        self._fs = self._path(self.folder).getFileSystem(self._conf)
+        self._local = self._fs.getUri().getScheme() == "file"
+        for part in ("leases", "items", "verdicts", "renewals", "snapshots"):
             self._fs.mkdirs(self._path(f"{self.folder}/{part}"))
 
     def _names(self, part: str) -> list[str]:
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.folder}/{part}")))
+        names = (s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.folder}/{part}")))
+        return sorted(n for n in names if not n.startswith((".", "_")))
 
     def _create(self, name: str, text: str) -> bool:
-        """Create a file with its whole content, or report that it exists: write aside, then rename."""
+        """Create a file with its whole content, or report that it exists: write aside, then link or rename."""
         aside, final = self._path(f"{self.folder}/.{uuid.uuid4().hex}"), self._path(f"{self.folder}/{name}")
         out = self._fs.create(aside)
         out.write(bytearray(text.encode()))
         out.close()
-        if self._fs.exists(final) or not self._fs.rename(aside, final):
-            self._fs.delete(aside, False)
+        try:
+            if self._local:
+                os.link(aside.toUri().getPath(), final.toUri().getPath())
+                return True
+            options = self._jvm.org.apache.hadoop.fs.Options.Rename
+            none = self.spark.sparkContext._gateway.new_array(options, 1)
+            none[0] = options.NONE
+            self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf).rename(aside, final, none)
+            return True
+        except FileExistsError:
             return False
-        return True
-
-    def _read(self, name: str) -> str:
-        return self.spark.read.text(f"{self.folder}/{name}", wholetext=True).first().value
+        except Py4JJavaError as e:
+            if e.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+                raise
+            return False
+        finally:
+            self._fs.delete(aside, False)
 
-    def leases(self) -> dict[int, Lease]:
+    def _texts(self, names: list[str]) -> dict[str, str]:
+        """The contents of several small files, in one job."""
+        if not names:
+            return {}
+        rows = self.spark.read.text([f"{self.folder}/{n}" for n in names], wholetext=True).select(F.input_file_name().alias("at"), "value").collect()
+        return {r["at"].rsplit("/", 1)[-1]: r["value"] for r in rows}
+
+    def verdicts(self) -> dict[int, str]:
+        return {int(n): v for n, v in self._texts([f"verdicts/{n}" for n in self._names("verdicts")]).items()}
+
+    def leases(self, tokens: set[int] | None = None) -> dict[int, Lease]:
+        """The leases of ``tokens``, or all, with their latest heartbeat."""
+        wanted = [n for n in self._names("leases") if tokens is None or int(n) in tokens]
+        beats: dict[int, datetime] = {}
+        for name in self._names("renewals"):
+            token, micros = name.split("-")
+            at = datetime(1970, 1, 1) + timedelta(microseconds=int(micros))
+            beats[int(token)] = max(at, beats.get(int(token), at))
         found = {}
-        for name in self._names("leases"):
-            holder, until = self._read(f"leases/{name}").split("\t")
-            found[int(name)] = Lease(int(name), holder, datetime.fromisoformat(until))
+        for name, text in self._texts([f"leases/{n}" for n in wanted]).items():
+            holder, until, attempt = text.split("\t")
+            token = int(name)
+            found[token] = Lease(token, holder, max(datetime.fromisoformat(until), beats.get(token, datetime.min)), attempt)
         return found
 
-    def committed_tokens(self) -> list[int]:
-        return [int(n) for n in self._names("commits")]
-
-    def _items(self, tokens: list[int]) -> DataFrame:
-        if not tokens:
+    def _items(self, leases: list[Lease]) -> DataFrame:
+        if not leases:
             return self.spark.createDataFrame([], EVENTS)
-        return self.spark.read.schema(EVENTS).parquet(*[f"{self.folder}/items/token={t}" for t in tokens])
+        tokens = F.create_map(*(x for one in leases for x in (F.lit(one.attempt), F.lit(one.token).cast("long"))))
+        rows = self.spark.read.schema("item string, version string").parquet(*[f"{self.folder}/items/{one.attempt}" for one in leases])
+        attempt = F.regexp_extract(F.input_file_name(), "/items/([^/]+)/", 1)
+        return rows.select("item", "version", tokens[attempt].alias("token"))
 
     def done(self) -> DataFrame:
-        """(item, version) on record: the version of the highest committed token."""
-        return self._items(self.committed_tokens()).groupBy("item").agg(F.max_by("version", "token").alias("version"))
+        """(item, version, token) on record: the version of the highest committed token, from the last snapshot on."""
+        verdicts = self.verdicts()
+        upto, folded = 0, self.spark.createDataFrame([], EVENTS)
+        names = self._names("snapshots")
+        if names:
+            upto = int(names[-1])
+            at = self._texts([f"snapshots/{names[-1]}"])[names[-1]]
+            folded = self.spark.read.schema(EVENTS).parquet(f"{self.folder}/items/{at}")
+        fresh = {t for t, v in verdicts.items() if v == COMMIT and t > upto}
+        rows = folded.unionByName(self._items(list(self.leases(fresh).values()))) if fresh else folded
+        return rows.groupBy("item").agg(F.max(F.struct("token", "version")).alias("r")).select("item", "r.version", "r.token")
+
+    def fold(self) -> int:
+        """Fold all that is done into one table, up to the last token below which every lease has its verdict."""
+        verdicts, upto = self.verdicts(), 0
+        while upto + 1 in verdicts:
+            upto += 1
+        if upto and f"{upto:012d}" not in self._names("snapshots"):
+            attempt = f"fold-{uuid.uuid4().hex}"
+            self.done().filter(F.col("token") <= upto).write.parquet(f"{self.folder}/items/{attempt}")
+            self._create(f"snapshots/{upto:012d}", attempt)
+        return upto
+
+    def _open(self) -> dict[int, Lease]:
+        """Leases without a verdict."""
+        told = set(map(int, self._names("verdicts")))
+        return self.leases({int(n) for n in self._names("leases")} - told)
 
     def pending(self, listing: DataFrame, now: datetime) -> DataFrame:
-        """Rows of ``listing`` (item, version) that are neither done nor under a live lease."""
-        live = [t for t, lease in self.leases().items() if t not in set(self.committed_tokens()) and lease.expires_at > now]
-        held = self._items(live).select("item").distinct()
-        record = self.done().withColumnRenamed("version", "recorded")
-        fresh = listing.dropDuplicates(["item"]).join(record, "item", "left")
+        """Rows of ``listing`` (item, version) that are neither done nor leased; of repeated items the least version counts."""
+        held = self._items([one for one in self._open().values() if one.expires_at > now]).select("item").distinct()
+        record = self.done().select("item", F.col("version").alias("recorded"))
+        fresh = listing.groupBy("item").agg(F.min("version").alias("version")).join(record, "item", "left")
         fresh = fresh.filter(F.col("version").isNotNull() & ~F.col("version").eqNullSafe(F.col("recorded")))
         return fresh.join(held, "item", "left_anti").drop("recorded")
 
     def lease(self, listing: DataFrame, holder: str, now: datetime, until: datetime) -> tuple[Lease, DataFrame]:
-        """Lease what is pending; the items are written under the new token and read back from there."""
-        items = self.pending(listing, now)
-        token = max([0, *map(int, self._names("leases"))]) + 1
-        while not self._create(f"leases/{token:012d}", f"{holder}\t{until.isoformat()}"):
-            token += 1
-        items.select("item", "version", F.lit(token).cast("long").alias("token")).write.mode("overwrite").parquet(
-            f"{self.folder}/items/token={token}"
-        )
-        return Lease(token, holder, until), self._items([token])
+        """Lease what is pending; the items are written first and read back from there."""
+        while True:
+            for one in self._open().values():
+                if one.expires_at <= now:
+                    self._create(f"verdicts/{one.token:012d}", REVOKED)
+            known = {int(n) for n in self._names("leases")}
+            attempt = uuid.uuid4().hex
+            self.pending(listing, now).select("item", "version").write.parquet(f"{self.folder}/items/{attempt}")
+            token = max([0, *known]) + 1
+            while not self._create(f"leases/{token:012d}", f"{holder}\t{until.isoformat()}\t{attempt}"):
+                token += 1
+            mine = Lease(token, holder, until, attempt)
+            unseen = self.leases({int(n) for n in self._names("leases") if int(n) < token} - known)
+            lost = {t for t, v in self.verdicts().items() if v != COMMIT}
+            rivals = [one for t, one in unseen.items() if t not in lost]
+            if not rivals or not self._items(rivals).join(self._items([mine]), "item", "left_semi").limit(1).count():
+                return mine, self._items([mine])
+            self._create(f"verdicts/{token:012d}", GIVEN_UP)
+
+    def renew(self, lease: Lease, until: datetime) -> None:
+        """A heartbeat: the lease now runs until ``until``, unless it was revoked."""
+        if self.verdicts().get(lease.token, COMMIT) != COMMIT:
+            raise StaleWriter(f"token {lease.token} of {lease.holder} no longer stands")
+        self._create(f"renewals/{lease.token:012d}-{int((until - datetime(1970, 1, 1)) / timedelta(microseconds=1))}", "")
 
     def output_path(self, lease: Lease) -> str:
         """Where a lease's output goes: the same place on every retry."""
         return f"{self.folder}/output/token={lease.token}"
 
-    def commit(self, lease: Lease, now: datetime) -> None:
-        """Make the lease's items done; refuse a holder whose lease expired and was granted on."""
-        done = set(self.committed_tokens())
-        if lease.token in done:
-            return
-        mine = self._items([lease.token]).select("item")
-        newer = [t for t in self.leases() if t > lease.token]
-        if lease.expires_at <= now and newer and self._items(newer).join(mine, "item", "left_semi").limit(1).count():
-            raise StaleWriter(f"token {lease.token} of {lease.holder} is older than one granted since")
-        self._create(f"commits/{lease.token:012d}", lease.holder)
+    def commit(self, lease: Lease) -> None:
+        """Make the lease's items done; refuse a holder whose lease was revoked. A repeated commit changes nothing."""
+        if not self._create(f"verdicts/{lease.token:012d}", COMMIT) and self.verdicts()[lease.token] != COMMIT:
+            raise StaleWriter(f"token {lease.token} of {lease.holder} no longer stands")

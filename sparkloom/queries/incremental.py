@@ -63,6 +63,6 @@ SELECT p.job_id, p.job_state, count(e.job_id) AS files_listed, count(*) FILTER (
 FROM placed p LEFT JOIN entries e ON e.job_id = p.job_id GROUP BY p.job_id, p.job_state, p.files_skipped, p.committed""",
     "p2_ledger_states": _ENTRIES
     + """
-SELECT job_id, CASE WHEN is_case AND NOT committed THEN 'pending' ELSE 'done' END AS item_state, count(*) AS items
+SELECT job_id, CASE WHEN NOT is_case OR committed THEN 'done' WHEN job_state IN ('Running', 'Queued') THEN 'leased' ELSE 'pending' END AS item_state, count(*) AS items
 FROM entries GROUP BY ALL""",
 }

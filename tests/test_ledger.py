@@ -80,21 +80,80 @@ def test_against_a_plain_replay(spark):
     assert cases(spark, rows, jobs) == sorted(want)
 
 
+def test_a_running_job_holds_its_leases(spark):
+    rows = [("a", "x", "1"), ("b", "x", "2")]
+    jobs = [("a", "s", "Succeeded", 0), ("b", "s", "Running", 1)]
+    got = {(r.job_id, r.item_state, r.recorded_token) for r in ledger.replay(listing(spark, *rows), progress(spark, *jobs)).collect()}
+    assert got == {("a", "done", None), ("b", "leased", 1)}
+
+
+HOUR = timedelta(hours=1)
+
+
+def files(spark, *rows):
+    return spark.createDataFrame(list(rows), "item string, version string")
+
+
 def test_live_ledger_survives_failures(spark, tmp_path):
     book = ledger.WorkLedger(spark, str(tmp_path / "ledger"))
-    files = spark.createDataFrame([("a", "1"), ("b", "1"), ("b", "1"), ("c", None)], "item string, version string")
-    first, items = book.lease(files, "w1", T0, T0 + timedelta(hours=1))
+    listed = files(spark, ("a", "1"), ("b", "1"), ("b", "1"), ("c", None))
+    first, items = book.lease(listed, "w1", T0, T0 + HOUR)
     assert sorted(r.item for r in items.collect()) == ["a", "b"]
-    assert book.pending(files, T0).count() == 0  # leased
-    late = T0 + timedelta(hours=2)
-    assert book.pending(files, late).count() == 2  # expired: pending again
-    second, again = book.lease(files, "w2", late, late + timedelta(hours=1))
+    assert book.pending(listed, T0).count() == 0  # leased
+    late = T0 + 2 * HOUR
+    assert book.pending(listed, late).count() == 2  # expired: pending again
+    second, again = book.lease(listed, "w2", late, late + HOUR)
     assert second.token > first.token and again.count() == 2
     with pytest.raises(ledger.StaleWriter):
-        book.commit(first, late)
-    book.commit(second, late)
-    book.commit(second, late)  # a retried commit changes nothing
-    assert book.pending(files, late).count() == 0
-    changed = spark.createDataFrame([("a", "2"), ("b", "1")], "item string, version string")
+        book.commit(first)
+    with pytest.raises(ledger.StaleWriter):
+        book.renew(first, late + HOUR)
+    book.commit(second)
+    book.commit(second)  # a retried commit changes nothing
+    assert book.pending(listed, late).count() == 0
+    changed = files(spark, ("a", "2"), ("b", "1"))
     assert [r.item for r in book.pending(changed, late).collect()] == ["a"]
     assert book.output_path(second) == book.output_path(second)
+    # folded, the record is the same and goes on
+    assert book.fold() == second.token
+    third, _ = book.lease(changed, "w3", late, late + HOUR)
+    book.commit(third)
+    assert {(r.item, r.version) for r in book.done().collect()} == {("a", "2"), ("b", "1")}
+
+
+def test_a_holder_that_dies_before_its_lease_stands_leaves_no_trace(spark, tmp_path, monkeypatch):
+    book = ledger.WorkLedger(spark, str(tmp_path / "ledger"))
+    plain = book._create
+    monkeypatch.setattr(book, "_create", lambda name, text: (_ for _ in ()).throw(OSError("lost")) if name.startswith("leases") else plain(name, text))
+    with pytest.raises(OSError):
+        book.lease(files(spark, ("a", "1")), "w1", T0, T0 + HOUR)
+    monkeypatch.setattr(book, "_create", plain)
+    _, items = book.lease(files(spark, ("a", "1")), "w2", T0, T0 + HOUR)
+    assert items.count() == 1
+
+
+def test_of_two_holders_that_read_the_same_pending_items_one_gives_up(spark, tmp_path, monkeypatch):
+    book, rival = (ledger.WorkLedger(spark, str(tmp_path / "ledger")) for _ in range(2))
+    listed = files(spark, ("a", "1"), ("b", "1"))
+    plain, got = book._create, []
+
+    def slow(name, text):
+        if name.startswith("leases") and not got:
+            got.append(rival.lease(listed, "w2", T0, T0 + HOUR))  # between this holder's reading and its lease
+        return plain(name, text)
+
+    monkeypatch.setattr(book, "_create", slow)
+    mine, items = book.lease(listed, "w1", T0, T0 + HOUR)
+    assert got[0][1].count() == 2 and items.count() == 0 and mine.token > got[0][0].token
+    rival.commit(got[0][0])
+    book.commit(mine)
+    assert {r.token for r in book.done().collect()} == {got[0][0].token}
+
+
+def test_a_heartbeat_keeps_a_lease(spark, tmp_path):
+    book = ledger.WorkLedger(spark, str(tmp_path / "ledger"))
+    listed = files(spark, ("a", "1"))
+    first, _ = book.lease(listed, "w1", T0, T0 + HOUR)
+    book.renew(first, T0 + 5 * HOUR)
+    assert book.lease(listed, "w2", T0 + 2 * HOUR, T0 + 3 * HOUR)[1].count() == 0
+    book.commit(first)
