@@ -17,13 +17,41 @@ MIN_TERM, MAX_TERM = 2, 64
 
 # fixed values: languages by file-name extension
 LANGUAGES = {
-    "csharp": "cs csx", "fsharp": "fs fsx", "vb": "vb", "java": "java", "kotlin": "kt kts", "scala": "scala", "swift": "swift",
-    "typescript": "ts tsx mts cts", "javascript": "js jsx mjs cjs", "python": "py pyi", "ruby": "rb", "go": "go", "rust": "rs",
-    "php": "php", "lua": "lua", "c": "c h", "cpp": "cpp cc cxx hpp hh", "sql": "sql", "css": "css", "scss": "scss", "less": "less",
-    "shell": "sh bash zsh", "powershell": "ps1 psm1", "html": "html htm", "razor": "razor cshtml", "vue": "vue", "svelte": "svelte",
-    "markdown": "md markdown", "json": "json jsonc", "yaml": "yml yaml", "toml": "toml", "xml": "xml csproj props targets",
-    "text": "txt log", "dockerfile": "dockerfile",
-}
+    "csharp": ("cs", "csx"),
+    "fsharp": ("fs", "fsx"),
+    "vb": ("vb",),
+    "java": ("java",),
+    "kotlin": ("kt", "kts"),
+    "scala": ("scala",),
+    "swift": ("swift",),
+    "typescript": ("ts", "tsx", "mts", "cts"),
+    "javascript": ("js", "jsx", "mjs", "cjs"),
+    "python": ("py", "pyi"),
+    "ruby": ("rb",),
+    "go": ("go",),
+    "rust": ("rs",),
+    "php": ("php",),
+    "lua": ("lua",),
+    "c": ("c", "h"),
+    "cpp": ("cpp", "cc", "cxx", "hpp", "hh"),
+    "sql": ("sql",),
+    "css": ("css",),
+    "scss": ("scss",),
+    "less": ("less",),
+    "shell": ("sh", "bash", "zsh"),
+    "powershell": ("ps1", "psm1"),
+    "html": ("html", "htm"),
+    "razor": ("razor", "cshtml"),
+    "vue": ("vue",),
+    "svelte": ("svelte",),
+    "markdown": ("md", "markdown"),
+    "json": ("json", "jsonc"),
+    "yaml": ("yml", "yaml"),
+    "toml": ("toml",),
+    "xml": ("xml", "csproj", "props", "targets"),
+    "text": ("txt", "log"),
+    "dockerfile": ("dockerfile",),
+}
 
 # fixed values: definitions by language, group 1 and 2 hold the name
 SYMBOLS = {
@@ -59,12 +87,12 @@ def terms(text: Column) -> Column:
     return F.filter(tokenize(text), lambda t: F.length(t).between(MIN_TERM, MAX_TERM) & ~F.array_contains(stop, t))
 
 
-def term_rows(frame: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term) for every occurrence: :func:`terms` spread out, step by step so that no lambda is interpreted."""
-    runs = frame.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(_RUN), F.lit(0))).alias("_run"))
+def term_rows(frame: DataFrame, key: str, text: str, by: list[str] = ()) -> DataFrame:
+    """(key, by…, term) for every occurrence: :func:`terms` spread out, step by step so that no lambda is interpreted."""
+    runs = frame.select(key, *by, F.explode(F.regexp_extract_all(F.col(text), F.lit(_RUN), F.lit(0))).alias("_run"))
     parts = F.split("_run", _INNER)
-    spread = runs.select(key, F.explode(F.when(F.size(parts) > 1, F.concat(F.array("_run"), parts)).otherwise(F.array("_run"))).alias("_part"))
-    return spread.select(key, F.lower("_part").alias("term")).filter(F.length("term").between(MIN_TERM, MAX_TERM) & ~F.col("term").isin(*STOP_WORDS))
+    spread = runs.select(key, *by, F.explode(F.when(F.size(parts) > 1, F.concat(F.array("_run"), parts)).otherwise(F.array("_run"))).alias("_part"))
+    return spread.select(key, *by, F.lower("_part").alias("term")).filter(F.length("term").between(MIN_TERM, MAX_TERM) & ~F.col("term").isin(*STOP_WORDS))
 
 
 def term_hash(term: Column) -> Column:
@@ -119,7 +147,7 @@ def language_of(path: Column) -> Column:
     extension = F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
     verdict = F.lit("text")
     for language, extensions in LANGUAGES.items():
-        verdict = F.when(extension.isin(*extensions.split()), language).otherwise(verdict)
+        verdict = F.when(extension.isin(*extensions), language).otherwise(verdict)
     return (
         F.when(F.lower(name).startswith("dockerfile"), "dockerfile")
         .when(name.startswith(".") & ~F.substring(name, 2, 10_000).contains("."), "text")

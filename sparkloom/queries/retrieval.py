@@ -58,9 +58,8 @@ def document_frequency(spark, d):
 
 
 def fnv1a_hash(spark, d):
-    words = table(spark, d, "subject_areas").select(F.explode("sample_terms").alias("term"))
-    areas = table(spark, d, "subject_areas").select(F.col("subject").alias("term"))
-    return words.unionByName(areas).distinct().select("term", X.term_hash(F.col("term")).alias("hash"))
+    """The hash of every term of the corpus."""
+    return X.term_rows(table(spark, d, "documents"), "doc_id", "text").select("term").distinct().select("term", X.term_hash(F.col("term")).alias("hash"))
 
 
 def keyword_topk(spark, d):
@@ -122,34 +121,29 @@ def distinct_title(spark, d):
 
 
 def collection_merge_topk(spark, d):
-    """Each language is a collection with its own statistics; the lists of all are merged by score, then cut."""
-    docs, items = table(spark, d, "documents"), table(spark, d, "eval_items")
-    merged = None
-    for language in ("en", "de", "fr", "es"):
-        one = R.keyword_scores(docs.filter(F.col("lang") == language), items)
-        part = R.top_k(one, 10, "item_id", "doc_id").drop("rank")
-        merged = part if merged is None else merged.unionByName(part)
-    return R.top_k(merged, 10, "item_id", "doc_id")
-
-
-def _merged_sql() -> str:
-    parts = []
-    for language in ("en", "de", "fr", "es"):
-        one = _KEYWORD.replace("FROM documents)", f"FROM documents WHERE lang = '{language}')")
-        parts.append(f"SELECT * FROM ({one} SELECT item_id, doc_id, score FROM keyword WHERE rank <= 10)")
-    return (
-        "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM ("
-        + " UNION ALL ".join(parts)
-        + ")) WHERE rank <= 10"
-    )
+    """Each language is a collection with its own statistics, null one of its own; the lists of all are merged by score, then cut."""
+    docs = table(spark, d, "documents").withColumn("collection", F.coalesce(F.lower(F.trim("lang")), F.lit("")))
+    scores = R.keyword_scores(docs, table(spark, d, "eval_items"), collection="collection")
+    # a document is in one collection, so that the ten best of all collections are among the ten best of each
+    return R.top_k(scores.drop("collection"), 10, "item_id", "doc_id")
+
+
+_MERGED = f"""
+WITH docs AS (SELECT doc_id, text, coalesce(lower(trim(lang)), '') AS collection FROM documents),
+{_DOC_TERMS},
+held AS (SELECT t.doc_id, collection, term, count(*) AS tf FROM t JOIN docs USING (doc_id) GROUP BY ALL),
+{terms_cte("q", "eval_items", "item_id", "query_text")},
+asked AS (SELECT item_id, term, count(*) AS qtf FROM q GROUP BY ALL),
+total AS (SELECT collection, count(*) AS n FROM docs GROUP BY 1),
+idf AS (SELECT collection, term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM held JOIN total USING (collection) GROUP BY ALL),
+scores AS (SELECT item_id, doc_id, round(sum(qtf * idf * tf), 6) AS score FROM held JOIN asked USING (term) JOIN idf USING (collection, term) GROUP BY ALL)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scores) WHERE rank <= 10"""
 
 
 def phrase_filter(spark, d):
     """Documents that hold the phrase of some subject's sample terms, words adjacent and in order."""
-    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", "text")
-    phrases = [r.term for r in table(spark, d, "subject_areas").select(F.explode("sample_terms").alias("term")).distinct().collect()]
-    found = F.filter(F.array(*(F.when(F.col("text").rlike(X.phrase_pattern(p)), F.lit(p)) for p in sorted(phrases))), lambda x: x.isNotNull())
-    return docs.select("doc_id", F.explode(found).alias("phrase"))
+    phrases = table(spark, d, "subject_areas").select(F.explode("sample_terms").alias("phrase"))
+    return R.phrase_hits(table(spark, d, "documents"), phrases)
 
 
 def phrase_locator(spark, d):
@@ -210,8 +204,7 @@ SQL = {
     "tokenize_terms": f"WITH {_DOC_TERMS} SELECT d.doc_id, CAST(count(term) AS INTEGER) AS terms, CAST(count(DISTINCT term) AS INTEGER) AS distinct_terms FROM documents d LEFT JOIN t USING (doc_id) WHERE d.doc_id IS NOT NULL GROUP BY d.doc_id",
     "term_frequency": f"WITH {_DOC_TERMS}, held AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL) SELECT doc_id, CAST(sum(tf) AS BIGINT) AS terms, max(tf) AS most, arg_max(term, (tf, term)) AS top_term FROM held GROUP BY doc_id",
     "document_frequency": f"WITH {_DOC_TERMS}, held AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM held GROUP BY term",
-    "fnv1a_hash": """
-WITH w AS (SELECT DISTINCT unnest(sample_terms) AS term FROM subject_areas UNION SELECT subject FROM subject_areas),
+    "fnv1a_hash": f"""WITH {_DOC_TERMS}, w AS (SELECT DISTINCT term FROM t),
 b AS (SELECT term, list_transform(range(1, octet_length(encode(term)) + 1), lambda i: CAST(('0x' || substr(hex(encode(term)), 2 * i - 1, 2)) AS BIGINT)) AS bytes FROM w)
 SELECT term, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), bytes), lambda a, x: (xor(a, x) * 16777619) & 4294967295) & 2147483647 AS hash FROM b""",
     "keyword_topk": _KEYWORD + "SELECT * FROM keyword WHERE rank <= 10",
@@ -225,11 +218,15 @@ parts AS (SELECT query_id, chunk_id, CASE WHEN sd > 0 THEN (score - (mu - 3 * sd
     + r""", hits AS (SELECT k.*, coalesce(source, '') AS src, regexp_replace(relative_path, '[-.][^/\\]*$', '') AS title FROM keyword k JOIN documents USING (doc_id) WHERE rank <= 160),
 best AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY item_id, src, title ORDER BY score DESC, doc_id) = 1)
 SELECT * FROM (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM best) x WHERE x.rank <= 10""",
-    "collection_merge_topk": _merged_sql(),
+    "collection_merge_topk": _MERGED,
     "phrase_filter": r"""
-WITH p AS (SELECT DISTINCT unnest(sample_terms) AS phrase FROM subject_areas)
-SELECT doc_id, phrase FROM documents, p
-WHERE regexp_matches(text, '(?i)(^|[^\p{L}\p{N}])' || replace(phrase, ' ', '[^\p{L}\p{N}]+') || '($|[^\p{L}\p{N}])')""",
+WITH p AS (SELECT DISTINCT unnest(sample_terms) AS phrase FROM subject_areas),
+w AS (SELECT phrase, regexp_extract_all(lower(phrase), '[\p{L}\p{N}]+') AS ws FROM p),
+parts AS (SELECT phrase, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+r AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents),
+seen AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM r),
+starts AS (SELECT doc_id, phrase, pos - i AS start, n, count(*) AS k FROM seen JOIN parts USING (word) GROUP BY ALL)
+SELECT DISTINCT doc_id, phrase FROM starts WHERE k = n""",
     "phrase_locator": r"""
 WITH m AS (SELECT doc_id, text, regexp_extract(text, '(?i)(^|[^\p{L}\p{N}])(kinds[^\p{L}\p{N}]+of)($|[^\p{L}\p{N}])', 2) AS hit, regexp_extract(text, '(?is)^(.*?)(^|[^\p{L}\p{N}])kinds[^\p{L}\p{N}]+of($|[^\p{L}\p{N}])', 1) AS ahead,
   regexp_extract(text, '(?is)^.*?(^|[^\p{L}\p{N}])kinds[^\p{L}\p{N}]+of($|[^\p{L}\p{N}])', 1) AS sep FROM documents
@@ -244,7 +241,7 @@ WITH n AS (SELECT file_id, regexp_extract(replace(relative_path, '\', '/'), '[^/
 l AS (SELECT file_id, CASE WHEN lower(name) LIKE 'dockerfile%' THEN 'dockerfile' WHEN name LIKE '.%' AND instr(name[2:], '.') = 0 THEN 'text'
   WHEN regexp_extract(lower(name), '\.([^.]*)$', 1) IN ('py', 'pyi') THEN 'python' WHEN regexp_extract(lower(name), '\.([^.]*)$', 1) = 'go' THEN 'go'
   WHEN regexp_extract(lower(name), '\.([^.]*)$', 1) IN ("""
-    + ",".join(f"'{e}'" for name, es in X.LANGUAGES.items() if name != "text" for e in es.split())
+    + ",".join(f"'{e}'" for name, es in X.LANGUAGES.items() if name != "text" for e in es)
     + """) THEN 'other' ELSE 'text' END AS language FROM n)
 SELECT file_id, language FROM l WHERE language IN ('python', 'go', 'text')""",
     "symbol_index": r"""

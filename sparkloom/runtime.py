@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,8 +69,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def cut_by_key(df: DataFrame, key: str) -> DataFrame:
-    """:func:`cut_lineage` of ``df`` partitioned by ``key``; groupings and joins by that key then need no shuffle of it.
+def cut_by_key(df: DataFrame, key: str, then: Callable[[DataFrame], DataFrame] = lambda laid: laid) -> DataFrame:
+    """:func:`cut_lineage` of ``then(df)`` with ``df`` partitioned by ``key``; groupings and joins by it then need no shuffle.
 
     A plan made adaptively forgets how its result is partitioned, so this one is made without.
     """
@@ -78,7 +79,7 @@ def cut_by_key(df: DataFrame, key: str) -> DataFrame:
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return cut_lineage(df.repartition(width, key))
+        return cut_lineage(then(df.repartition(width, key)))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
