@@ -1,34 +1,39 @@
 """Rebuilding conversations from message rows.
 
-Reply links: within a session every message looks back over the ``LOOK_BACK`` messages before it, and beyond
-them to the last message with a tool-call id or a name it mentions. Each of them is scored as a possible parent
-from the time between the two, the places between them, what the message mentions of it (tool-call ids and
-names) and the words they share; the likeliest is the parent, or none if all are out of the question. That is
-judged without the place, which the message just before always has: time and change of speaker count for the
-same agent only and fade with silence, and with ids, names and words they must reach ``ROOT_BELOW``. The links form trees. A kept session comes out as one conversation,
-its trees interleaved in line order, every message with its parent, its tree and the score of its link.
-
-Nothing here holds a session in one task. Sessions are judged with aggregates, and numbered and linked in
-blocks of ``BLOCK`` lines, each with the last few messages before it; only the messages that links across a
-block's start lead to are settled by session.
+Interleaved threads of a session are disentangled by reply links. Every message looks for its parent among all messages
+before it, however far back: the message just before, the last one of each speaker and of its own agent, and the last
+one with each tool-call id, name or word it holds. Each candidate is scored by the time between the two, the places
+between them, what the message mentions of it (tool-call ids and names) and the words they share; the likeliest is the
+parent, or none if all are out of the question. That is judged without the place, which the message just before always
+has: time and change of speaker count for the same agent only and fade with silence, and with ids, names and words
+they must reach ``ROOT_BELOW``. The links form trees.
+
+A session's conversation is its forest: it must open with a root of the user's and close with a leaf of the assistant's.
+What comes out is every message of such a session in line order, with its parent, its tree and the score of its link.
+An exact check leaves out sessions with holes in their line numbers or unreadable records.
+
+Nothing here holds a session in one task. Sessions are judged with aggregates, and numbered and linked in blocks of
+``BLOCK`` lines. Of the messages before a block, those that hold one of its ids, names or words last come along, so that
+links reach as far as they must; trees that cross blocks are joined by doubling pointers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import exp
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.runtime import cut_lineage
+from sparkloom.runtime import broadcast_if_small, cut_lineage
 
-LOOK_BACK = 6
 BLOCK = 1024
 ROOT_BELOW = 0.18
 TIME_SCALE_S = 900.0
 #: The silence after which a message counts half as going on with the thread: without shared words, names or ids the same agent's thread breaks after one to two hours.
 SILENCE_S = 3600.0
+MAX_BROADCAST_SESSIONS = 500_000
 
 # fixed values: speaker spellings and the spans that hosts inject into messages
 USER_ROLES = ("user", "human")
@@ -44,8 +49,8 @@ def _speaker(name: Column) -> Column:
     return F.when(name.isin(*USER_ROLES), "user").when(name.isin(*ASSISTANT_ROLES), "assistant").otherwise(name)
 
 
-def parsed_records(records: DataFrame) -> DataFrame:
-    """One row per (session_id, line_no): the record with the highest record_id, its speaker and spoken text.
+def parsed_records(records: DataFrame, with_text: bool = True) -> DataFrame:
+    """One row per (session_id, line_no): the record with the highest record_id, its speaker, what links go by and, if asked for, its spoken text.
 
     ``is_broken`` marks user and assistant records whose message is null or not valid JSON. ``is_message``
     marks those that are not is_meta and have text left once injected spans are removed. A record with
@@ -88,16 +93,24 @@ def parsed_records(records: DataFrame) -> DataFrame:
         F.expr("filter(transform(blocks, b -> b.id), x -> x is not null)").alias("calls"),
         F.expr("filter(transform(blocks, b -> b.tool_use_id), x -> x is not null)").alias("answers"),
     )
-    # what only messages need is dropped from the others before anything is shuffled
-    for name in ("text", "calls", "answers"):
+    # what only messages need is dropped from the others before anything is shuffled; words, names and ids travel as hashes
+    hashed = lambda x: F.transform(F.array_distinct(x), lambda w: F.hash(w))
+    shaped = (
+        shaped.withColumn("words", hashed(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]{4,}"), F.lit(0))))
+        .withColumn("names", hashed(F.regexp_extract_all(F.col("text"), F.lit(r"(?<=[\p{Ll},] )\p{Lu}[\p{Ll}]{3,}"), F.lit(0))))
+        .withColumn("calls", hashed(F.col("calls")))
+        .withColumn("answers", hashed(F.col("answers")))
+    )
+    for name in ("text", "words", "names", "calls", "answers"):
         shaped = shaped.withColumn(name, F.when(F.col("is_message"), F.col(name)))
+    if not with_text:
+        shaped = shaped.drop("text")
     row = F.struct("record_id", *[c for c in shaped.columns if c not in ("session_id", "line_no", "record_id")])
     return shaped.groupBy("session_id", "line_no").agg(F.max(row).alias("r")).select("session_id", "line_no", "r.*")
 
 
-def sound_sessions(lines: DataFrame) -> DataFrame:
-    """session_ids whose lines are 1, 2, 3 … without holes or broken records, opened by the user, closed by the assistant."""
-    at = F.when(F.col("is_message"), F.col("line_no"))
+def whole_sessions(lines: DataFrame) -> DataFrame:
+    """The exact check: session_ids whose lines are 1, 2, 3 … without holes or broken records, with a message."""
     return (
         lines.groupBy("session_id")
         .agg(
@@ -106,159 +119,178 @@ def sound_sessions(lines: DataFrame) -> DataFrame:
             F.min("line_no").alias("first"),
             F.max("line_no").alias("last"),
             F.count_if("is_broken").alias("broken"),
-            F.min_by("speaker", at).alias("opens"),
-            F.max_by("speaker", at).alias("closes"),
+            F.count_if("is_message").alias("messages"),
         )
-        .filter("n = numbered and first = 1 and last = n and broken = 0 and opens = 'user' and closes = 'assistant'")
+        .filter("n = numbered and first = 1 and last = n and broken = 0 and messages > 0")
         .select("session_id")
     )
 
 
 def _numbered(messages: DataFrame) -> DataFrame:
-    """turn_no by line order, counted block by block."""
+    """turn_no by line order, counted block by block; ``_blocks`` is the session's number of blocks."""
     messages = messages.withColumn("_block", F.floor((F.col("line_no") - 1) / BLOCK))
     sums = messages.groupBy("session_id", "_block").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy("session_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("session_id", "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    every = Window.partitionBy("session_id")
+    sums = sums.select("session_id", "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.count("*").over(every).alias("_blocks"))
     within = Window.partitionBy("session_id", "_block").orderBy("line_no")
     return (
         messages.withColumn("_rank", F.row_number().over(within))
         .join(sums, ["session_id", "_block"])
         .withColumn("turn_no", (F.col("_before") + F.col("_rank")).cast("int"))
-        .drop("_rank", "_before", "_block")
+        .drop("_rank", "_before")
     )
 
 
-def reply_links(turns: DataFrame) -> DataFrame:
-    """``turns`` with each message's likeliest parent: parent_turn (null for a root) and link_score."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]{4,}"), F.lit(0)))
-    names = F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(r"(?<=[\p{Ll},] )\p{Lu}[\p{Ll}]{3,}"), F.lit(0)))
-    block = F.floor((F.col("turn_no") - 1) / BLOCK)
-    own = turns.withColumn("_words", words).withColumn("_names", names).withColumn("_block", block).withColumn("_own", F.lit(True))
-    # the last messages of a block are also the look-back of the next one
-    tail = own.filter((F.col("turn_no") - 1) % BLOCK >= BLOCK - LOOK_BACK)
-    both = own.unionByName(tail.withColumn("_block", F.col("_block") + 1).withColumn("_own", F.lit(False)))
-    back = Window.partitionBy("session_id", "_block").orderBy("turn_no").rowsBetween(-LOOK_BACK, -1)
-    candidate = F.struct("turn_no", "speaker", "recorded_at", "agent_id", "_words", "_names", "calls")
-    seen = F.collect_list(candidate).over(back)
-    far = _far_candidates(own).join(own.select("session_id", F.col("turn_no").alias("_far"), candidate.alias("_p")), ["session_id", "_far"])
-    far = far.groupBy("session_id", "turn_no").agg(F.collect_list("_p").alias("_beyond"))
-
-    def judged(p: Column) -> Column:
-        gap = F.abs(F.unix_timestamp("recorded_at") - F.unix_timestamp(p["recorded_at"])).cast("double")
-        near_in_time = F.coalesce(F.exp(-gap / TIME_SCALE_S), F.lit(0.3))
-        near_in_place = F.lit(1.0) / (F.col("turn_no") - p["turn_no"])
-        alternates = (F.col("speaker") != p["speaker"]).cast("double")
-        same_agent = F.col("agent_id").eqNullSafe(p["agent_id"]).cast("double")
-        answers = F.coalesce(F.arrays_overlap("answers", p["calls"]), F.lit(False)).cast("double")
-        mentions = F.coalesce(F.arrays_overlap("_names", p["_names"]).cast("double"), F.lit(0.0))
-        union = F.size(F.array_union("_words", p["_words"]))
-        shared = F.when(union > 0, F.size(F.array_intersect("_words", p["_words"])) / union).otherwise(0.0)
-        content = 0.60 * answers + 0.10 * mentions + 0.30 * shared
-        score = 0.25 * near_in_time + 0.25 * near_in_place + 0.15 * alternates + 0.10 * same_agent + content
-        # the same thread going on: what the two have in common but for the place, fading with the silence between them
-        unbroken = F.coalesce(1.0 / (1.0 + gap / SILENCE_S), F.lit(0.6))
-        goes_on = same_agent * (0.35 + 0.15 * alternates) * unbroken
-        return F.struct(score.alias("score"), p["turn_no"].alias("turn"), (goes_on + content >= ROOT_BELOW).alias("fits"))
-
-    linked = both.withColumn("_seen", seen).filter("_own").join(far, ["session_id", "turn_no"], "left")
-    everyone = F.concat("_seen", F.coalesce("_beyond", F.slice("_seen", 1, 0)))
-    best = F.array_max(F.filter(F.transform(everyone, judged), lambda c: c["fits"]))
-    return linked.withColumn("_best", best).select(
-        *turns.columns,
-        F.col("_best.turn").alias("parent_turn"),
-        F.col("_best.score").alias("link_score"),
-        "_block",
-    )
+_LINKED_BY = ["turn_no", "speaker", "agent_id", "recorded_at", "words", "names", "calls", "answers"]
 
 
-def _far_candidates(own: DataFrame) -> DataFrame:
-    """(session_id, turn_no, _far): for each id and name of a message the last one before it that has them, if beyond the look-back."""
-    key = lambda kind, gives, asks: lambda x: F.struct(F.concat(F.lit(kind), x).alias("key"), F.lit(gives).alias("gives"), F.lit(asks).alias("asks"))
-    none = F.array().cast("array<string>")
-    keys = F.concat(
-        F.transform(F.coalesce("_names", none), key("n:", True, True)),
-        F.transform(F.coalesce("calls", none), key("c:", True, False)),
-        F.transform(F.coalesce("answers", none), key("c:", False, True)),
-    )
-    before = Window.partitionBy("session_id", "key").orderBy("turn_no").rangeBetween(Window.unboundedPreceding, -1)
-    found = own.select("session_id", "turn_no", F.explode(keys).alias("k")).select("session_id", "turn_no", "k.*")
-    found = found.withColumn("_far", F.max(F.when(F.col("gives"), F.col("turn_no"))).over(before))
-    return found.filter(F.col("asks") & (F.col("_far") < F.col("turn_no") - LOOK_BACK)).select("session_id", "turn_no", "_far").distinct()
-
-
-def _block_roots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each message's root, or the message of an earlier block that its links lead to; rows come in turn order."""
-    key, roots = None, {}
-    for frame in frames:
-        found = []
-        for session, block, turn, parent in zip(frame.session_id, frame._block, frame.turn_no, frame.parent_turn):
-            if (session, block) != key:
-                key, roots = (session, block), {}
-            root = turn if pd.isna(parent) else roots.get(int(parent), int(parent))
-            roots[turn] = root
-            found.append(root)
-        frame["local_root"] = pd.Series(found, dtype="int32", index=frame.index)
-        yield frame
+def _guests(turns: DataFrame) -> DataFrame:
+    """Rows of ``turns`` once more under each later block that they are the last message before it to share a key with.
 
+    Keys are speakers, agents, ids, names and words. Only sessions of several blocks have guests.
+    """
+    long = turns.filter("_blocks > 1")
+    none = F.array().cast("array<int>")
+    held = lambda name, sign, gives=True: F.transform(F.coalesce(name, none), lambda x: F.struct(F.concat(F.lit(sign), x.cast("string")).alias("key"), F.lit(gives).alias("gives")))
+    one = lambda name, sign: F.array(F.struct(F.concat(F.lit(sign), F.coalesce(name, F.lit(""))).alias("key"), F.lit(True).alias("gives")))
+    keys = F.concat(one("speaker", "s"), one("agent_id", "a"), held("words", "w"), held("names", "n"), held("calls", "c"), held("answers", "c", False))
+    last = long.select("session_id", "_block", "turn_no", F.explode(keys).alias("k")).groupBy("session_id", "k.key", "_block").agg(F.max(F.when(F.col("k.gives"), F.col("turn_no"))).alias("last"))
+    # one row a block and key, in order of blocks
+    before = Window.partitionBy("session_id", "key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = last.select("session_id", "_block", F.last("last", True).over(before).alias("turn_no")).filter("turn_no is not null").distinct()
+    # the last message of the block before comes along too
+    ends = long.groupBy("session_id", "_block").agg(F.max("turn_no").alias("turn_no")).select("session_id", (F.col("_block") + 1).alias("_block"), "turn_no")
+    return wanted.unionByName(ends).distinct().join(long.drop("_block"), ["session_id", "turn_no"])
+
+
+class _Thread:
+    """The messages of a session so far and, for each key, the last one that has it."""
+
+    def __init__(self) -> None:
+        self.last: dict = {}
+        self.rows: dict[int, tuple] = {}
+        self.before: int | None = None
+
+    def parent(self, row: tuple) -> tuple[int | None, float | None]:
+        """(turn_no, score) of the likeliest parent."""
+        turn, speaker, agent, at, words, names, calls, answers = row
+        last, keys = self.last, {self.before}
+        keys.add(last.get(("a", agent)))
+        for other in ("user", "assistant"):
+            keys.add(last.get(("s", other)))
+        for sign, values in (("w", words), ("n", names), ("c", answers)):
+            for value in values:
+                keys.add(last.get((sign, value)))
+        keys.discard(None)
+        best, found = None, None
+        for candidate in keys:
+            _, who, whose, when, its_words, its_names, its_calls, _ = self.rows[candidate]
+            gap = None if at is None or when is None else abs(at - when)
+            alternates = speaker != who
+            same_agent = agent == whose
+            union = len(words | its_words)
+            content = 0.60 * (not answers.isdisjoint(its_calls)) + 0.10 * (not names.isdisjoint(its_names)) + (0.30 * len(words & its_words) / union if union else 0.0)
+            unbroken = 0.6 if gap is None else 1.0 / (1.0 + gap / SILENCE_S)
+            if same_agent * (0.35 + 0.15 * alternates) * unbroken + content < ROOT_BELOW:
+                continue
+            score = 0.25 * (0.3 if gap is None else exp(-gap / TIME_SCALE_S)) + 0.25 / (turn - candidate) + 0.15 * alternates + 0.10 * same_agent + content
+            if best is None or (score, candidate) > best:
+                best, found = (score, candidate), candidate
+        return (None, None) if found is None else (found, best[0])
+
+    def add(self, row: tuple) -> None:
+        turn, speaker, agent, _, words, names, calls, _ = row
+        self.rows[turn] = row
+        self.before = turn
+        self.last["a", agent] = self.last["s", speaker] = turn
+        for sign, values in (("w", words), ("n", names), ("c", calls)):
+            for value in values:
+                self.last[sign, value] = turn
+
+
+_LINKS = pa.schema(
+    [("session_id", pa.string()), ("_block", pa.int64()), ("turn_no", pa.int32()), ("line_no", pa.int32()), ("record_id", pa.int64()), ("speaker", pa.string()),
+     ("parent_turn", pa.int32()), ("link_score", pa.float64()), ("local_root", pa.int32())]
+)
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parents, and the root or the message of an earlier block that they lead to; rows come by session, block and turn."""
+    key, thread, roots = None, _Thread(), {}
+    for batch in batches:
+        out: list[list] = [[] for _ in _LINKS]
+        columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+        for session, block, own, line, record, turn, speaker, agent, at, *sets in zip(*columns):
+            if (session, block) != key:
+                key, thread, roots = (session, block), _Thread(), {}
+            row = (turn, speaker, agent, at, *(frozenset(x or ()) for x in sets))
+            if own:
+                parent, score = thread.parent(row)
+                root = turn if parent is None else roots.get(parent, parent)
+                roots[turn] = root
+                for column, value in zip(out, (session, block, turn, line, record, speaker, parent, score, root)):
+                    column.append(value)
+            thread.add(row)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _LINKS)], schema=_LINKS)
 
-def _crossing_roots(frame: pd.DataFrame) -> pd.DataFrame:
-    """One session's links across block starts, earliest first."""
-    frame = frame.sort_values("turn_no")
-    known: dict[int, int] = {}
-    for turn, to in zip(frame.turn_no, frame.local_root):
-        known[turn] = known.get(to, to)
-    frame["root"] = [known[t] for t in frame.turn_no]
-    return frame[["session_id", "turn_no", "root"]]
 
+def reply_links(turns: DataFrame) -> DataFrame:
+    """(session_id, _block, turn_no, line_no, record_id, speaker, parent_turn, link_score, local_root) of every message.
 
-def link_trees(linked: DataFrame) -> DataFrame:
-    """``linked`` with tree_root, the turn_no of the root of the message's tree."""
-    # a block must lie in one partition, however the links were joined
-    ordered = linked.select("session_id", "_block", "turn_no", "parent_turn", "record_id").repartition("session_id", "_block").sortWithinPartitions("session_id", "_block", "turn_no")
-    local = ordered.mapInPandas(
-        _block_roots, "session_id string, _block long, turn_no int, parent_turn int, record_id long, local_root int"
-    )
-    starts = F.col("_block") * BLOCK
-    local = local.withColumn("_crosses", F.col("local_root") <= starts)
-    # the ends of links that cross a block's start, few beside the messages
-    ends = local.filter("_crosses").select("session_id", F.col("local_root").alias("turn_no")).distinct()
-    slots = local.join(ends, ["session_id", "turn_no"], "left_semi").groupBy("session_id").applyInPandas(
-        _crossing_roots, "session_id string, turn_no int, root int"
-    )
-    crossing = slots.withColumnRenamed("turn_no", "local_root")
-    roots = (
-        local.join(crossing, ["session_id", "local_root"], "left")
-        .select("session_id", "turn_no", F.when(F.col("_crosses"), F.col("root")).otherwise(F.col("local_root")).alias("tree_root"))
-    )
-    return linked.drop("_block").join(roots, ["session_id", "turn_no"])
+    parent_turn is null for a root; local_root is the root, or the message of an earlier block that the links lead to.
+    """
+    columns = ["session_id", "_block", "_own", "line_no", "record_id", *_LINKED_BY]
+    own = turns.withColumn("_own", F.lit(True))
+    both = own.select(*columns).unionByName(_guests(turns).withColumn("_own", F.lit(False)).select(*columns))
+    both = both.withColumn("recorded_at", F.unix_micros(F.col("recorded_at").cast("timestamp")) / 1e6)
+    ordered = both.repartition("session_id", "_block").sortWithinPartitions("session_id", "_block", "turn_no")
+    kinds = "session_id string, _block long, turn_no int, line_no int, record_id long, speaker string, parent_turn int, link_score double, local_root int"
+    return ordered.mapInArrow(_linked, kinds)
 
 
-def conversations(records: DataFrame) -> DataFrame:
+def link_trees(linked: DataFrame) -> DataFrame:
+    """``linked`` with tree_root, the turn_no of the root of the message's tree, by doubling pointers across blocks."""
+    first = linked.filter("_block > 0").groupBy("session_id", "_block").agg(F.min("turn_no").alias("_start"))
+    crossing = linked.join(first, ["session_id", "_block"]).filter(F.col("local_root") < F.col("_start"))
+    ends = crossing.select("session_id", F.col("local_root").alias("turn_no")).distinct()
+    slots = linked.join(ends, ["session_id", "turn_no"], "left_semi").select("session_id", "turn_no", F.col("local_root").alias("to"))
+    slots = cut_lineage(slots)
+    while True:
+        onward = slots.select("session_id", F.col("turn_no").alias("to"), F.col("to").alias("_onward"))
+        stepped = slots.join(onward, ["session_id", "to"], "left").select("session_id", "turn_no", F.coalesce("_onward", "to").alias("_next"), "to")
+        if not stepped.filter("_next <> to").limit(1).count():
+            break
+        slots = cut_lineage(stepped.select("session_id", "turn_no", F.col("_next").alias("to")))
+    roots = slots.select("session_id", F.col("turn_no").alias("local_root"), F.col("to").alias("_root"))
+    joined = linked.join(broadcast_if_small(roots, MAX_BROADCAST_SESSIONS), ["session_id", "local_root"], "left")
+    return joined.withColumn("tree_root", F.coalesce("_root", "local_root")).drop("_root", "local_root", "_block")
+
+
+def forests(trees: DataFrame) -> DataFrame:
+    """session_ids whose forest opens with a root of the user's and closes with a leaf of the assistant's."""
+    at = F.struct("turn_no", "speaker")
+    told = trees.groupBy("session_id").agg(F.min(F.when(F.col("tree_root") == F.col("turn_no"), at)).alias("opens"), F.min("turn_no").alias("first"), F.max(at).alias("closes"))
+    return told.filter("opens.turn_no = first and opens.speaker = 'user' and closes.speaker = 'assistant'").select("session_id")
+
+
+def conversations(records: DataFrame, with_text: bool = True) -> DataFrame:
     """One row per message of each kept session, in conversation order.
 
-    Columns: session_id, turn_no, record_id, line_no, speaker, text, recorded_at, agent_id, parent_turn,
-    link_score, tree_root. Dropped: sessions with holes in their line numbers, with unreadable user or
+    Columns: session_id, turn_no, line_no, record_id, speaker, parent_turn, link_score, tree_root and, with text,
+    text, recorded_at, agent_id. Dropped: sessions with holes in their line numbers, with unreadable user or
     assistant records, without messages, not opened by the user or not closed by the assistant. Repeated
     (session_id, line_no) rows count once. An empty table gives no rows.
     """
-    lines = parsed_records(records)
-    messages = lines.filter("is_message").drop("is_broken", "is_message")
-    kept = messages.join(sound_sessions(lines), "session_id", "left_semi")
-    # links, trees and the final join all start from here, so the numbered turns are written once
-    linked = reply_links(cut_lineage(_numbered(kept)))
+    # records are read and parsed once
+    lines = cut_lineage(parsed_records(records, with_text))
+    whole = broadcast_if_small(whole_sessions(lines), MAX_BROADCAST_SESSIONS)
+    messages = lines.filter("is_message").join(whole, "session_id", "left_semi")
+    turns = _numbered(messages.drop("is_broken", "is_message", "text"))
+    linked = cut_lineage(reply_links(turns))
     trees = link_trees(linked)
-    # a message outside every tree would have no place in the conversation; by construction there is none
-    return trees.filter(F.col("tree_root").isNotNull()).select(
-        "session_id",
-        "turn_no",
-        "record_id",
-        "line_no",
-        "speaker",
-        "text",
-        "recorded_at",
-        "agent_id",
-        "parent_turn",
-        "link_score",
-        "tree_root",
-    )
+    kept = trees.join(broadcast_if_small(forests(trees), MAX_BROADCAST_SESSIONS), "session_id", "left_semi")
+    columns = ["session_id", "turn_no", "line_no", "record_id", "speaker", "parent_turn", "link_score", "tree_root"]
+    if not with_text:
+        return kept.select(*columns)
+    return kept.join(messages.select("session_id", "line_no", "text", "recorded_at", "agent_id"), ["session_id", "line_no"]).select(*columns, "text", "recorded_at", "agent_id")

@@ -11,12 +11,12 @@ from sparkloom.runtime import table
 
 
 def p1_found(spark, d):
-    return conv.conversations(table(spark, d, "transcript_records")).select("session_id", "turn_no", "record_id")
+    return conv.conversations(table(spark, d, "transcript_records"), with_text=False).select("session_id", "turn_no", "record_id")
 
 
 def p1_reply_trees(spark, d):
     """Per kept session: its messages, its trees and the size of the largest."""
-    turns = conv.conversations(table(spark, d, "transcript_records"))
+    turns = conv.conversations(table(spark, d, "transcript_records"), with_text=False)
     trees = turns.groupBy("session_id", "tree_root").agg(F.count("*").alias("n"))
     return trees.groupBy("session_id").agg(F.sum("n").alias("messages"), F.count("*").alias("trees"), F.max("n").alias("largest_tree"))
 
