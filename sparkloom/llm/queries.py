@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm import conversations as conv
 from sparkloom.llm import encode as enc
 from sparkloom.llm import credentials, handwritten, leakage, markup, splitting, subjects
-from sparkloom.runtime import table
+from sparkloom.runtime import broadcast_if_small, table
 
 
 def p1_found(spark, d):
@@ -38,17 +39,22 @@ def p4_found(spark, d):
 
 
 def p4_pieces(spark, d):
-    """Per set: its pieces, the items they come from, and whether all keep the limit and the overlap."""
+    """Per set: the items split, the characters their pieces cover, each once, and the pieces that break the limit or the overlap."""
     sets = splitting.effective_sets(table(spark, d, "chunk_sets"))
     pieces = splitting.split_texts(table(spark, d, "extracted_texts"), table(spark, d, "chunk_sets"))
-    limit = F.floor(F.col("chunk_size") * F.col("chars_per_token") + F.lit(1e-9))
+    chars = lambda name: F.floor(F.col(name) * F.col("chars_per_token") + F.lit(1e-9))
+    # each piece beside the one before it in its item: a shuffle by item, of offsets alone
+    order = Window.partitionBy("chunk_set_id", "text_id", "unit_no").orderBy("piece_no")
+    pieces = pieces.withColumn("before", F.lag("end_offset").over(order))
+    limit, overlap = chars("chunk_size"), F.least(chars("chunk_overlap"), chars("chunk_size") - 1)
     return (
-        pieces.join(F.broadcast(sets), "chunk_set_id")
+        pieces.join(broadcast_if_small(sets, splitting.MAX_BROADCAST_SETS), "chunk_set_id")
         .groupBy("chunk_set_id")
         .agg(
-            F.count("*").alias("pieces"),
             F.count_if(F.col("piece_no") == 1).alias("items"),
-            F.max(F.col("end_offset") - F.col("start_offset") - limit).alias("over_limit"),
+            F.sum(F.col("end_offset") - F.coalesce("before", "start_offset")).cast("long").alias("covered"),
+            F.count_if(F.col("end_offset") - F.col("start_offset") > limit).alias("too_long"),
+            F.count_if(F.col("before") - F.col("start_offset") != overlap).alias("wrong_overlap"),
         )
     )
 
@@ -152,6 +158,8 @@ items AS (
 SELECT chunk_set_id, text_id, unit_no FROM items JOIN sets ON sets.corpus_id = items.corpus_id AND sets.unit_aware = items.by_unit
 WHERE n > most"""
 
+_P4_PIECES = _P4_SQL.replace("SELECT chunk_set_id, text_id, unit_no FROM items", "SELECT chunk_set_id, count(*) AS items, CAST(sum(n) AS BIGINT) AS covered, 0::BIGINT AS too_long, 0::BIGINT AS wrong_overlap FROM items") + " GROUP BY chunk_set_id"
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_reply_trees": p1_reply_trees,
@@ -170,7 +178,7 @@ QUERIES = {
     "p9_composition": p9_composition,
 }
 
-SQL = {"p1_found": _P1_SQL, "p4_found": _P4_SQL}
+SQL = {"p1_found": _P1_SQL, "p4_found": _P4_SQL, "p4_pieces": _P4_PIECES}
 
 
 def queries() -> dict:

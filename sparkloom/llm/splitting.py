@@ -9,8 +9,9 @@ where no piece is longer than the limit, stride = limit - overlap and target is
 pieces that can do. Penalties rank the boundaries: starts of definitions and headings or the set's own
 pattern, blank lines, line ends, sentence ends, word ends, and last a cut inside a word.
 
-Positions are thinned to the best boundary of every ``1 / CELLS`` of a stride (of equals, the last), so that
-the work is linear in the text and a stride always holds a place to cut, even in text without any space.
+The positions are all natural boundaries of the item: pattern starts, blank lines, line ends and sentence ends. Where a
+stretch of ``1 / CELLS`` of a stride holds none, its last word end is one, or else a safe place inside a word, so that a
+stride always holds a place to cut, even in text without any space. Every pair of positions within reach is weighed.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ CELLS = 10
 BALANCE = 1.5
 DEFAULT_SIZE, DEFAULT_OVERLAP, DEFAULT_MODE = 256, 32, "blank-line"
 MAX_BROADCAST_SETS = 50_000
+#: Positions within reach beyond which they are weighed as one array.
+DENSE = 48
 
 STRONG, BLANK_LINE, LINE, SENTENCE, WORD, INSIDE = 0.0, 0.2, 0.7, 1.0, 2.0, 6.0
 _OPENING = re.compile(
@@ -59,72 +63,80 @@ def _safe(text: str, at: int, low: int) -> int:
     return at
 
 
+def positions(text: str, begin: int, end: int, cell: int, mode: str | None, starts: list[int]) -> tuple[list[int], list[float]]:
+    """The boundary positions of ``text[begin:end]`` after ``begin``, ascending, and their penalties; the last is ``end``."""
+    cost: dict[int, float] = {}
+    find = text.find
+    for mark in _SENTENCE_ENDS[:3] if text.isascii() else _SENTENCE_ENDS:
+        at = find(mark, begin, end)
+        while at >= 0:
+            cost[at + len(mark)] = SENTENCE
+            at = find(mark, at + 1, end)
+    at = find("\n", begin, end)
+    while at >= 0:
+        blank = mode != "none" and at > begin and text[at - 1] == "\n"
+        cost[at + 1] = BLANK_LINE if blank else LINE
+        at = find("\n", at + 1, end)
+    for at in starts[bisect_left(starts, begin + 1) : bisect_left(starts, end)]:
+        cost[at] = STRONG
+    cost.pop(end, None)
+    places, costs, low = [], [], begin
+    for at in [*sorted(cost), end]:
+        while at - low > cell:
+            high = low + cell
+            word = text.rfind(" ", low, high) + 1
+            places.append(word or _safe(text, high, low))
+            costs.append(WORD if word else INSIDE)
+            low = places[-1]
+        places.append(at)
+        costs.append(cost.get(at, 0.0))
+        low = at
+    return places, costs
+
+
 def best_cuts(text: str, begin: int, end: int, limit: int, overlap: int, mode: str | None, starts: list[int]) -> list[int]:
     """The ends of the pieces of ``text[begin:end]``; the last is ``end``."""
     length = end - begin
     if length <= limit:
         return [end]
     stride = limit - overlap
-    cell = max(1, stride // CELLS)
-    wants_blank = mode != "none"
-    marks = _SENTENCE_ENDS[:3] if text.isascii() else _SENTENCE_ENDS
-    places, costs = [begin], [0.0]
-    rfind, low, k = text.rfind, begin, bisect_left(starts, begin + 1)
-    while low + cell < end:
-        high = low + cell  # a cut c of this cell has low < c <= high
-        cost, at = INSIDE, 0
-        while k < len(starts) and starts[k] <= high:
-            cost, at, k = STRONG, starts[k], k + 1
-        if not at:
-            line = rfind("\n", low, high) + 1
-            if line:
-                cost, at = LINE, line
-                if wants_blank:
-                    blank = rfind("\n\n", max(begin, low - 1), high) + 2
-                    if blank > low + 1:
-                        cost, at = BLANK_LINE, blank
-            else:
-                for mark in marks:
-                    found = rfind(mark, low, high) + len(mark)
-                    if found >= low + len(mark) and found <= high and found > at:
-                        cost, at = SENTENCE, found
-                if not at:
-                    at = rfind(" ", low, high) + 1
-                    if at:
-                        cost = WORD
-                    else:
-                        at = _safe(text, high, low)
-        places.append(at)
-        costs.append(cost)
-        low = high
-    places.append(end)
-    costs.append(0.0)
+    places, costs = positions(text, begin, end, max(1, stride // CELLS), mode, starts)
+    return [places[j] for j in cheapest_path(places, costs, begin, limit, overlap)]
+
+
+def cheapest_path(places: list[int], costs: list[float], begin: int, limit: int, overlap: int) -> list[int]:
+    """Indexes of the positions that the programme cuts at, in order."""
+    stride, length = limit - overlap, places[-1] - begin
     pieces = max(2, math.ceil((length - overlap) / stride))
     target, scale = (length - overlap) / pieces, BALANCE / (stride * stride)
-    total, back = [0.0], [0]
-    first, nearest = 1, 0
-    least = target / 3  # shorter pieces are weighed only where nothing longer reaches
-    for j in range(1, len(places)):
-        here, best, via = places[j], math.inf, 0
+    total, back, first = [], [], 0
+    for j, here in enumerate(places):
+        best, via = math.inf, -1
         if here - begin <= limit:
             size = here - begin - overlap - target
             best = size * size * scale
-        while first < j and here - places[first] > stride:
+        while here - places[first] > stride:
             first += 1
-        while nearest < j and here - places[nearest] >= least:
-            nearest += 1
-        for i in range(first, nearest if nearest > first or best < math.inf else j):
-            size = here - places[i] - target
-            value = total[i] + size * size * scale
-            if value < best:
-                best, via = value, i
+        if j - first > DENSE:
+            sizes = here - target - np.array(places[first:j])
+            values = np.array(total[first:j]) + sizes * sizes * scale
+            at = int(values.argmin())
+            if values[at] < best:
+                best, via = float(values[at]), first + at
+        else:
+            ahead = here - target
+            for i in range(first, j):
+                size = ahead - places[i]
+                value = total[i] + size * size * scale
+                if value < best:
+                    best, via = value, i
         total.append(best + costs[j])
         back.append(via)
-    cuts, j = [], len(places) - 1
-    while j:
-        cuts.append(places[j])
+    path, j = [], len(places) - 1
+    while j >= 0:
+        path.append(j)
         j = back[j]
-    return cuts[::-1]
+    return path[::-1]
 
 
 def pieces_of(text: str, begin: int, end: int, limit: int, overlap: int, mode: str | None = None, starts: list[int] | None = None) -> list[tuple[int, int]]:
@@ -158,7 +170,7 @@ def effective_sets(chunk_sets: DataFrame) -> DataFrame:
     def own(name: str, last) -> F.Column:
         return F.coalesce(F.col(name), F.col(f"base.{name}"), F.lit(last)).alias(name)
 
-    return chunk_sets.join(F.broadcast(base), "corpus_id", "left").select(
+    return chunk_sets.join(broadcast_if_small(base, MAX_BROADCAST_SETS), "corpus_id", "left").select(
         "chunk_set_id",
         "corpus_id",
         own("chunk_size", DEFAULT_SIZE),
