@@ -79,7 +79,7 @@ def p6_found(spark, d):
 def p6_clean(spark, d):
     """Every text without its markup, sections moved along."""
     told = markup.clean_texts(table(spark, d, "extracted_texts"))
-    return told.select("text_id", F.array_join("markup", ",").alias("markup"), "clean_body", F.size("sections").alias("sections"))
+    return told.select("text_id", F.array_join("markup", ",").alias("markup"), "clean_body", F.size("sections").alias("sections"), F.size("structure").alias("parts"))
 
 
 def p7_ids(spark, d):

@@ -193,7 +193,7 @@ def test_kinds_of_markup(body, kinds):
 
 def test_clean_text_and_offsets():
     body = "<h2>One</h2>\n\nA **b** [c](d) &amp; e\n\n## Two\n\n* **x**\n* **y**\n\n```\nif a < b:\n```\n\n$x_{1}$"
-    text, moved, kinds = markup.clean(body, [body.index("<h2>"), body.index("## Two"), len(body) + 9])
+    text, moved, kinds, _ = markup.clean(body, [body.index("<h2>"), body.index("## Two"), len(body) + 9])
     assert text == "One\n\nA b c & e\n\nTwo\n\n- x\n- y\n\nif a < b:\n\n\n$x_{1}$"
     assert text[moved[0] :].startswith("One") and text[moved[1] :].startswith("Two") and moved[2] == len(text) and kinds == {"html", "markdown", "latex"}
 
