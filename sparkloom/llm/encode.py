@@ -13,6 +13,7 @@ Every worker keeps the words it has met, so that a batch costs its new words plu
 from __future__ import annotations
 
 import base64
+import os
 import re
 import sys
 import unicodedata
@@ -21,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -153,6 +155,8 @@ class TrieEncoder:
         if len(known) > MAX_KEPT_WORDS or len(self.words) > MAX_KEPT_WORDS:
             known.clear()
             self.words.clear()
+        if len(self.valid) > MAX_KEPT_WORDS:
+            self.valid.clear()
         cut = [chunks(t) if t else [] for t in texts]
         fresh = set().union(*cut)
         fresh.difference_update(known)
@@ -184,13 +188,15 @@ def encode(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, key: str
     """(key, ids array<int>) of every row, without special tokens.
 
     Null and empty texts have an empty list. Special tokens' strings in a text are ordinary text. Rows with
-    equal or null keys are kept as they are. ``vocabulary`` is the path of a rank file that every worker can
-    read. There is no shuffle.
+    equal or null keys are kept as they are. ``vocabulary`` is the path of a rank file; it goes to the workers with
+    the job, so that only the driver must be able to read it. There is no shuffle.
     """
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(vocabulary)
+        tool = encoder(SparkFiles.get(name))
         for batch in batches:
             # lists of a batch share one buffer of 32-bit offsets: keep slices well under its limit
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):

@@ -18,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -32,6 +33,10 @@ SEED_WORDS = 5
 DIAGONAL_SLACK = 4
 #: Items per pass. A larger set is searched in blocks of this many, each a pass over the documents.
 ITEMS_PER_BLOCK = 20_000
+#: The same by the length of their passages, which bounds what travels to the workers.
+CHARS_PER_BLOCK = 100_000_000
+#: Tokens a worker keeps; beyond it the store starts anew, which costs time and changes no result.
+MAX_KEPT_TOKENS = 2_000_000
 
 # fixed values: Cyrillic and Greek letters drawn like Latin ones
 LOOKALIKES = str.maketrans("асеорхуіјѕԁһкмтвнαονρτυκι", "aceopxyijsdhkmtbhaovptuki")
@@ -110,6 +115,8 @@ class Passages:
 
     def word_numbers(self, text: str) -> list[int]:
         """The document's words as numbers, -1 for words of no passage."""
+        if len(self.tokens) > MAX_KEPT_TOKENS:
+            self.tokens.clear()
         known, number = self.tokens, self.number
         found: list[int] = []
         carried = None  # the last token of the line before
@@ -233,8 +240,8 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     The documents are read where they lie: no shuffle, and only the stated items travel.
     """
     stated = items.select("item_id", "passage").filter(F.col("item_id").isNotNull() & F.col("passage").isNotNull())
-    count = stated.count()
-    blocks = max(1, -(-count // ITEMS_PER_BLOCK))
+    size = stated.agg(F.count("*").alias("n"), F.sum(F.length("passage")).alias("chars")).first()
+    blocks = max(1, -(-size.n // ITEMS_PER_BLOCK), -(-(size.chars or 0) // CHARS_PER_BLOCK))
     found = None
     for block in range(blocks):
         part = stated.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else stated
@@ -244,12 +251,23 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     return found
 
 
+_BUILT: dict[int, Passages] = {}
+
+
+def _built(number: int, rows: list[tuple[int, str]]) -> Passages:
+    """The passages of a broadcast, built once a worker; the one before is let go."""
+    if number not in _BUILT:
+        _BUILT.clear()
+        _BUILT[number] = Passages(rows)
+    return _BUILT[number]
+
+
 def _one_block(documents: DataFrame, rows: list[tuple[int, str]]) -> DataFrame:
-    sent = documents.sparkSession.sparkContext.broadcast(rows)
+    sent = documents.sparkSession.sparkContext.broadcast((uuid.uuid4().int, rows))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("passage_start", pa.int32()), ("passage_words", pa.int32()), ("errors", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages = Passages(sent.value)
+        passages = _built(*sent.value)
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 keys = part.column(0).to_pylist()
