@@ -124,3 +124,32 @@ class RuleSet:
             if pattern.fullmatch(path):
                 return not again
         return False
+
+
+def literal_prefix(glob: str) -> str:
+    """The deepest path a glob surely lies under: its text up to the last ``/`` before the first wildcard."""
+    body = glob.strip().removeprefix("!").removeprefix("/").rstrip("/")
+    wild = next((i for i, c in enumerate(body) if c in "*?["), None)
+    if wild is None:
+        return body
+    return body[:wild].rpartition("/")[0]
+
+
+def may_reinclude_beneath(directory: Column, rules: list[str]) -> Column:
+    """Whether a ``!`` rule could take back something beneath a directory, so that it must be walked though it is excluded."""
+    folded = F.lower(F.regexp_replace(directory, r"\\", "/"))
+    verdict = F.lit(False)
+    for line in rules:
+        line = line.strip().lower()
+        if not line.startswith("!") or not usable(line):
+            continue
+        prefix = literal_prefix(line)
+        if "/" not in line[1:].strip().rstrip("/") or not prefix:
+            return F.lit(True)  # a rule for any depth
+        verdict = verdict | (folded == prefix) | folded.startswith(prefix + "/") | F.lit(prefix).startswith(F.concat(folded, F.lit("/")))
+    return verdict
+
+
+def prunable(directory: Column, rules: list[str]) -> Column:
+    """Whether a walk may leave a directory out with all beneath it."""
+    return excluded(F.concat(directory, F.lit("/_")), rules) & excluded(F.concat(directory, F.lit("/")), rules) & ~may_reinclude_beneath(directory, rules)

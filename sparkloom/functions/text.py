@@ -53,6 +53,19 @@ LANGUAGES = {
     "dockerfile": ("dockerfile",),
 }
 
+# fixed values: media types by language; all others are plain text
+MEDIA_TYPES = {
+    "csharp": "text/x-csharp",
+    "typescript": "text/x-typescript",
+    "javascript": "text/javascript",
+    "python": "text/x-python",
+    "markdown": "text/markdown",
+    "html": "text/html",
+    "json": "application/json",
+    "yaml": "application/yaml",
+    "sql": "application/sql",
+}
+
 # fixed values: definitions by language, group 1 and 2 hold the name
 SYMBOLS = {
     "csharp": r"\b(?:class|struct|interface|enum|record)\s+(\w+)|\b(?:public|private|protected|internal)\s+(?:static\s+|async\s+|virtual\s+|override\s+|sealed\s+)*[\w<>\[\],\s]+?\s+(\w+)\s*\(",
@@ -155,6 +168,13 @@ def language_of(path: Column) -> Column:
     )
 
 
+def media_type(language: Column) -> Column:
+    verdict = F.lit("text/plain")
+    for name, kind in MEDIA_TYPES.items():
+        verdict = F.when(language == name, kind).otherwise(verdict)
+    return verdict
+
+
 def symbols_of(language: Column, text: Column) -> Column:
     """Distinct names a text defines, in order, at most 32; empty for languages without a pattern."""
     verdict = F.array().cast("array<string>")

@@ -1,8 +1,8 @@
 """The registered queries of the core and their SQL."""
 
-from sparkloom.queries import catalogue, evaluation, incremental, pipeline, retrieval, storing
+from sparkloom.queries import catalogue, evaluation, incremental, passages, pipeline, retrieval, service, storing
 
-MODULES = (incremental, retrieval, catalogue, evaluation, pipeline, storing)
+MODULES = (incremental, retrieval, catalogue, evaluation, passages, service, pipeline, storing)
 
 
 def queries() -> dict:

@@ -50,14 +50,6 @@ def topk_overlap(spark, d):
     return metrics.overlap(keyword, dense, "query_id", "chunk_id")
 
 
-def chunk_coherence(spark, d):
-    """Of the chunks of code files: how many begin at a definition, and their mean length."""
-    files = table(spark, d, "source_files").filter("code_language in ('python', 'go')")
-    chunks = chunker.chunk_texts(files, "file_id", "file_text", "code_language", 96, 0)
-    starts = F.col("content").rlike(r"^(def |func |type |class )")
-    return chunks.agg(F.count("*").alias("chunks"), F.round(F.avg(starts.cast("double")), 6).alias("begin_at_definition"), F.round(F.avg(F.length("content")), 3).alias("mean_chars"))
-
-
 def chunk_documents(spark, d):
     chunks = chunker.chunk_texts(table(spark, d, "source_files"), "file_id", "file_text", "code_language")
     return chunks.select("key", "chunk_index", "start_line", "end_line", F.size("symbols").alias("symbols"), F.length("content").alias("chars"))
@@ -121,14 +113,6 @@ def stitch_gaps(spark, d):
     return seen.filter("line_no > through + 1").select("session_id", (F.col("through") + 1).alias("gap_from"), (F.col("line_no") - 1).alias("gap_to"))
 
 
-def boundary_lines(spark, d):
-    """Boundary and blank lines per file."""
-    files = table(spark, d, "source_files").filter("code_language in ('python', 'go')")
-    lines = F.split(F.regexp_replace("file_text", "\r\n?", "\n"), "\n", -1)
-    pattern = F.when(F.col("code_language") == "python", F.lit(chunker.BOUNDARIES["python"])).otherwise(F.lit(chunker.BOUNDARIES["go"]))
-    return files.select("file_id", F.size(F.filter(lines, lambda x: x.rlike(chunker.BOUNDARIES["python"]) & (F.col("code_language") == "python") | x.rlike(chunker.BOUNDARIES["go"]) & (F.col("code_language") == "go"))).alias("boundaries"), F.size(F.filter(lines, lambda x: F.trim(x) == "")).alias("blank"))
-
-
 def line_window(spark, d):
     """Lines 3 to 5 of every file, clamped."""
     lines = F.split(F.regexp_replace("file_text", "\r\n?", "\n"), "\n", -1)
@@ -149,8 +133,8 @@ f AS (SELECT query_id, a.label AS wanted, min(CASE WHEN b.label = a.label THEN r
 QUERIES = {
     f.__name__: f
     for f in (
-        hit_at_k_mrr, sweep_grouping_sets, auc_rank_sum, wilson_interval, bootstrap_interval, topk_overlap, chunk_coherence, chunk_documents, log_keyset, log_oldest,
-        log_retained, log_windows, log_sessions, neighbour_units, offset_to_unit, git_sections, transcript_sections, stitch_gaps, boundary_lines, line_window, commit_paths,
+        hit_at_k_mrr, sweep_grouping_sets, auc_rank_sum, wilson_interval, bootstrap_interval, topk_overlap, chunk_documents, log_keyset, log_oldest,
+        log_retained, log_windows, log_sessions, neighbour_units, offset_to_unit, git_sections, transcript_sections, stitch_gaps, line_window, commit_paths,
     )
 }
 
@@ -189,10 +173,6 @@ SELECT session_id, section_no, any_value(t) AS speaker, min(line_no) AS first_li
 WITH r AS (SELECT DISTINCT session_id, line_no FROM transcript_records),
 t AS (SELECT *, coalesce(max(line_no) OVER (PARTITION BY session_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS through FROM r)
 SELECT session_id, CAST(through + 1 AS INTEGER) AS gap_from, CAST(line_no - 1 AS INTEGER) AS gap_to FROM t WHERE line_no > through + 1""",
-    "boundary_lines": r"""
-WITH l AS (SELECT file_id, code_language, string_split(regexp_replace(file_text, '\r\n?', chr(10), 'g'), chr(10)) AS lines FROM source_files WHERE code_language IN ('python', 'go'))
-SELECT file_id, CAST(len(list_filter(lines, lambda x: CASE WHEN code_language = 'python' THEN regexp_matches(x, '^(async def |def |class )') ELSE regexp_matches(x, '^(func |type |var |const )') END)) AS INTEGER) AS boundaries,
-  CAST(len(list_filter(lines, lambda x: trim(x) = '')) AS INTEGER) AS blank FROM l""",
     "line_window": r"WITH l AS (SELECT file_id, string_split(regexp_replace(file_text, '\r\n?', chr(10), 'g'), chr(10)) AS lines FROM source_files) SELECT file_id, array_to_string(lines[3:5], chr(10)) AS shown FROM l WHERE len(lines) >= 3",
     "commit_paths": "SELECT git_doc_id, 'commits/' || strftime(author_date, '%Y-%m-%d') || '-' || substr(commit_sha, 1, 12) AS path FROM git_documents WHERE author_date IS NOT NULL",
 }
