@@ -191,6 +191,18 @@ def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def fingerprint(blob: Column, path: Column, sentence_aware: bool = False, heading_context: bool = False, provider: str = "none", model: str = "none", templates: str = "raw", extractor: int = 6, chunker: int = 2) -> Column:
+    """What the chunks of a file depend on, hashed: its bytes, the set's columns, the model with its templates, and the versions.
+
+    Markdown files have a chunker version of their own.
+    """
+    text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
+    version = F.when(F.lower(path).rlike(r"\.(md|markdown)$"), f"c{chunker}m").otherwise(f"c{chunker}")
+    settings = [text(name) for name in ("chunk_size", "chunk_overlap", "chars_per_token", "boundary_mode", "custom_pattern", "unit_aware")]
+    fixed = [str(sentence_aware).lower(), str(heading_context).lower(), provider, model, f"t{templates}", f"x{extractor}"]
+    return F.sha2(F.concat_ws("|", F.coalesce(blob, F.lit("")), *settings, *map(F.lit, fixed), version), 256)
+
+
 def chunk_id(set_id: Column, source_id: Column, path: Column, index: Column) -> Column:
     """The chunk's identity: its key's SHA-256 folded into a version-5 UUID, so that a re-run replaces it."""
     digest = F.sha2(F.concat_ws("|", set_id, source_id, path, index.cast("string")), 256)

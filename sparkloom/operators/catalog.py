@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions import globs as G
 from sparkloom.functions import text as X
 from sparkloom.operators.ledger import file_key, jobs_in_order
+from sparkloom.runtime import broadcast_if_small
 
 TEXT_CAP, DOCUMENT_CAP = 262_144, 536_870_912
 DOCUMENT_TYPES = ("pdf", "docx", "pptx", "epub")
@@ -30,7 +32,7 @@ def current_files(candidates: DataFrame) -> DataFrame:
 
 def file_status(files: DataFrame, sources: DataFrame) -> DataFrame:
     """files with a status: Skipped over the source's size cap, Failed without a hash, Empty at size 0, else Indexed."""
-    caps = F.broadcast(sources.select("source_id", "max_file_bytes"))
+    caps = broadcast_if_small(sources.select("source_id", "max_file_bytes"))
     cap = F.coalesce("max_file_bytes", F.lit(TEXT_CAP))
     status = (
         F.when(F.col("size_bytes") > cap, "Skipped").when(F.col("sha256").isNull(), "Failed").when(F.col("size_bytes") == 0, "Empty").otherwise("Indexed")
@@ -89,7 +91,7 @@ def last_two_commits(progress: DataFrame) -> DataFrame:
 
 def vanished_files(candidates: DataFrame, progress: DataFrame) -> DataFrame:
     """Files that the commit before the last one listed and the last one did not."""
-    marks = F.broadcast(last_two_commits(progress))
+    marks = broadcast_if_small(last_two_commits(progress))
     listed = candidates.select("job_id", "source_id", file_key(F.col("relative_path")).alias("path")).join(marks, "job_id")
     seen = listed.filter("recency = 1").select("source_id", "path")
     return listed.filter("recency = 2").select("source_id", "path").distinct().join(seen, ["source_id", "path"], "left_anti")
@@ -97,7 +99,7 @@ def vanished_files(candidates: DataFrame, progress: DataFrame) -> DataFrame:
 
 def unsettled_files(candidates: DataFrame, progress: DataFrame) -> DataFrame:
     """Files of the last commit whose (size, ticks) differ from those of the commit before, or were unknown."""
-    marks = F.broadcast(last_two_commits(progress))
+    marks = broadcast_if_small(last_two_commits(progress))
     key = ["source_id", "path", "size_bytes", "modified_ticks"]
     listed = candidates.select("job_id", "source_id", file_key(F.col("relative_path")).alias("path"), "size_bytes", "modified_ticks").join(marks, "job_id")
     settled = listed.filter("recency = 2 and modified_ticks > 0 and size_bytes is not null").select(*key)
@@ -125,10 +127,10 @@ def configuration_diff(here: DataFrame, there: DataFrame, key: str, columns: lis
 def owners(files: DataFrame, sources: DataFrame) -> DataFrame:
     """Who indexes each absolute path: the source with the longest root above it, equal roots to the lower id."""
     roots = sources.filter("root_path is not null").select(F.col("source_id").alias("owner"), F.lower("root_path").alias("root"))
-    at = files.join(F.broadcast(sources.select("source_id", "root_path")), "source_id").filter("root_path is not null")
+    at = files.join(broadcast_if_small(sources.select("source_id", "root_path")), "source_id").filter("root_path is not null")
     whole = F.concat_ws("/", "root_path", "path")
     spread = at.select("candidate_id", F.explode(F.transform(X.path_prefixes(whole), lambda p: F.concat(F.lit("/"), p))).alias("root"))
-    best = spread.join(F.broadcast(roots), "root").groupBy("candidate_id").agg(F.min(F.struct((-F.length("root")).alias("n"), "owner")).alias("r"))
+    best = spread.join(broadcast_if_small(roots), "root").groupBy("candidate_id").agg(F.min(F.struct((-F.length("root")).alias("n"), "owner")).alias("r"))
     return best.select("candidate_id", "r.owner")
 
 
@@ -137,7 +139,7 @@ def effective_filters(sources: DataFrame) -> DataFrame:
     stated = sources.filter("exclude_globs is not null").groupBy("corpus_id").agg(F.min(F.struct("source_id", "exclude_globs")).alias("c"))
     origin = F.when(F.col("exclude_globs").isNotNull(), "source").when(F.col("c").isNotNull(), "corpus").otherwise("default")
     globs = F.coalesce("exclude_globs", "c.exclude_globs", F.array(F.lit(DEFAULT_INCLUDE)))
-    return sources.join(F.broadcast(stated), "corpus_id", "left").select("source_id", origin.alias("origin"), F.array_join(globs, "|").alias("globs"))
+    return sources.join(broadcast_if_small(stated), "corpus_id", "left").select("source_id", origin.alias("origin"), F.array_join(globs, "|").alias("globs"))
 
 
 def chunk_settings(sets: DataFrame, context_tokens: int) -> DataFrame:
@@ -146,7 +148,7 @@ def chunk_settings(sets: DataFrame, context_tokens: int) -> DataFrame:
     size = F.coalesce("chunk_size", "bs", F.lit(256))
     fitted = F.least(size, F.greatest(F.lit(1), F.floor(F.lit(USABLE_CONTEXT * context_tokens)).cast("int")))
     overlap = F.least(F.coalesce("chunk_overlap", "bo", F.lit(32)), fitted - 1)
-    return sets.join(F.broadcast(base), "corpus_id", "left").select("chunk_set_id", fitted.alias("size"), overlap.alias("overlap"), F.floor(fitted * F.col("chars_per_token")).cast("int").alias("budget"))
+    return sets.join(broadcast_if_small(base), "corpus_id", "left").select("chunk_set_id", fitted.alias("size"), overlap.alias("overlap"), F.floor(fitted * F.col("chars_per_token")).cast("int").alias("budget"))
 
 
 def triage(candidates: DataFrame) -> DataFrame:
@@ -156,7 +158,7 @@ def triage(candidates: DataFrame) -> DataFrame:
     cap = F.when(extension.isin(*DOCUMENT_TYPES), DOCUMENT_CAP).otherwise(TEXT_CAP)
     reason = (
         F.when(path.rlike(r"(^|/)\.git(/|$)"), "git plumbing")
-        .when(path.rlike(r"(^|/)(node_modules|bin|obj|target|dist|build|__pycache__|\.venv|venv)/") | extension.isin("exe", "dll", "zip", "png", "lock"), "ignored")
+        .when(G.excluded(path, G.ALWAYS_EXCLUDE), "ignored")
         .when(F.col("sha256").isNull(), "unreadable")
         .when(F.col("size_bytes") == 0, "empty file")
         .when(F.col("size_bytes") > cap, "over the size cap")
@@ -166,8 +168,9 @@ def triage(candidates: DataFrame) -> DataFrame:
 
 def newest_or_held(commits: DataFrame, newest: int, held: DataFrame) -> DataFrame:
     """One row per path (the lowest id), of each source the newest N and those already held."""
-    one = commits.withColumn("_n", F.row_number().over(Window.partitionBy("source_id", "relative_path").orderBy("git_doc_id"))).filter("_n = 1")
+    one = commits.withColumn("_n", F.row_number().over(Window.partitionBy("source_id", "relative_path").orderBy("git_doc_id"))).filter("_n = 1").drop("_n")
+    # the newest of a source are cut to their number before the shuffle; what is held needs no order
     order = Window.partitionBy("source_id").orderBy(F.desc_nulls_last("author_date"), "git_doc_id")
-    ranked = one.withColumn("_r", F.row_number().over(order))
-    kept = ranked.join(held.select("git_doc_id").distinct().withColumn("_held", F.lit(True)), "git_doc_id", "left")
-    return kept.filter("_r <= " + str(newest) + " or _held").drop("_n", "_r", "_held")
+    first = one.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= newest).drop("_r")
+    rest = one.join(held.select("git_doc_id").distinct(), "git_doc_id", "left_semi").join(first.select("git_doc_id"), "git_doc_id", "left_anti")
+    return first.unionByName(rest)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.runtime import broadcast_if_small, cut_lineage
+
 CUTOFFS = (1, 3, 5)
 RESAMPLES = 5000
-BUCKETS = 1024
+MAX_QUESTIONS = 100_000
 
 
 def quality(ranks: DataFrame, by: list[str]) -> DataFrame:
@@ -27,23 +29,46 @@ def sweep(runs: DataFrame, axes: list[str], value: str) -> DataFrame:
     )
 
 
+def _with_below(counts: DataFrame, score: str, count: str) -> DataFrame:
+    """``counts`` (one row per score) with ``below``: the sum of ``count`` over all lower scores, run by range of scores.
+
+    Ranges hold about as many scores each, however these are spread; one row a range is summed over all.
+    """
+    ranged = cut_lineage(counts.repartitionByRange(score).withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy("_range").agg(F.sum(count).alias("_n"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    joined = ranged.join(broadcast_if_small(sums), "_range")
+    return joined.withColumn("below", F.col("_before") + F.coalesce(F.sum(count).over(within), F.lit(0))).drop("_range", "_before")
+
+
 def auc(scored: DataFrame, score: str, positive: str) -> DataFrame:
     """Area under the curve by rank sums, ties counted half. Ranks come from counts per score, so equal scores may abound."""
     counts = scored.filter(F.col(score).isNotNull()).groupBy(score).agg(F.count_if(positive).alias("p"), F.count_if(~F.col(positive)).alias("n"))
-    # negatives below each score: those of lower buckets, then those below within its bucket
-    ends = scored.agg(F.min(score).alias("_low"), F.max(score).alias("_high"))
-    place = F.floor((F.col(score) - F.col("_low")) / F.greatest(F.col("_high") - F.col("_low"), F.lit(1e-300)) * BUCKETS)
-    counts = counts.join(F.broadcast(ends)).withColumn("_bucket", place)
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = counts.groupBy("_bucket").agg(F.sum("n").alias("_n"))  # at most BUCKETS + 1 rows
-    sums = sums.select("_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_bucket").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    below = F.col("_before") + F.coalesce(F.sum("n").over(within), F.lit(0))
-    counts = counts.join(F.broadcast(sums), "_bucket")
-    pairs = counts.withColumn("below", below).agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("s"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    below = _with_below(counts, score, "n")
+    pairs = below.agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("s"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return pairs.select(F.round(F.col("s") / (F.col("p") * F.col("n")), 6).alias("auc"), F.col("p").alias("positives"), F.col("n").alias("negatives"))
 
 
+def threshold_keeping(scored: DataFrame, score: str, positive: str, retention: float) -> DataFrame:
+    """(threshold, kept, passed): the largest score that keeps ``retention`` of the positives, and the shares of positives and negatives it lets through."""
+    known = scored.filter(F.col(score).isNotNull())
+    counts = known.groupBy(score).agg(F.count_if(positive).alias("p"), F.count_if(~F.col(positive)).alias("n"))
+    total = counts.agg(F.sum("p").alias("_p"), F.sum("n").alias("_n")).withColumn("_lose", F.floor(F.col("_p") * F.lit(1 - retention) + F.lit(1e-9)))
+    # of the positives in order of score, the one after those that may be lost
+    at = _with_below(counts, score, "p").join(F.broadcast(total)).filter((F.col("below") <= F.col("_lose")) & (F.col("below") + F.col("p") > F.col("_lose"))).select(F.col(score).alias("threshold"), "_p", "_n")
+    over = known.join(F.broadcast(at)).filter(F.col(score) >= F.col("threshold"))
+    told = over.groupBy("threshold", "_p", "_n").agg(F.count_if(positive).alias("kp"), F.count_if(~F.col(positive)).alias("kn"))
+    return told.select("threshold", F.round(F.col("kp") / F.col("_p"), 6).alias("kept"), F.round(F.col("kn") / F.col("_n"), 6).alias("passed"))
+
+
+def score_gaps(ranked: DataFrame, query_key: str) -> DataFrame:
+    """Per question the best score, how far it lies above the second, and the hits it has."""
+    score = lambda n: F.max(F.when(F.col("rank") == n, F.col("score")))
+    return ranked.groupBy(query_key).agg(score(1).alias("top"), F.round(score(1) - F.coalesce(score(2), F.lit(0.0)), 6).alias("gap"), F.count("*").alias("hits"))
+
+
 def wilson(successes: Column, total: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Bounds of the Wilson interval of a share."""
     p, n = successes / total, total.cast("double")
@@ -53,19 +78,26 @@ def wilson(successes: Column, total: Column, z: float = 1.96) -> tuple[Column, C
 
 
 def paired_bootstrap(pairs: DataFrame, resamples: int = RESAMPLES, seed: int = 7) -> DataFrame:
-    """Mean difference a - b and its 95 % interval over resampled questions, by Poisson weights drawn in place.
+    """(mean, low, high): mean difference a - b of paired questions, and the means of rank 2.5 % and 97.5 % of the resamples.
 
-    Every resample weights each row by a Poisson(1) count from a hash of (seed, resample, id): one pass, no
-    row is copied between tasks.
+    Draw j of resample r is a question chosen by the MD5 of (seed, r, j), so that every run draws the same. Questions
+    are a stated set of at most ``MAX_QUESTIONS``, numbered by id; the draws are spread over the cluster.
     """
-    draws = pairs.select((F.col("a") - F.col("b")).alias("d"), "id", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("r"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "r", "id"), F.lit(1_000_003)) + 0.5) / 1_000_003
-    steps = [0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582]
-    weight = F.lit(6)
-    for k in range(len(steps) - 1, -1, -1):
-        weight = F.when(u < steps[k], k).otherwise(weight)
-    means = draws.withColumn("w", weight).groupBy("r").agg((F.sum(F.col("d") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1))).alias("m"))
-    return means.agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    numbered = pairs.select("id", (F.col("a") - F.col("b")).alias("d")).filter(F.col("d").isNotNull())
+    n = numbered.limit(MAX_QUESTIONS + 1).count()
+    if n > MAX_QUESTIONS:
+        raise ValueError(f"more than {MAX_QUESTIONS} questions to resample")
+    ranked = numbered.withColumn("_k", F.row_number().over(Window.orderBy("id")) - 1)
+    spark = pairs.sparkSession
+    draws = spark.range(resamples).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).alias("j"))
+    digest = F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("r").cast("string"), F.col("j").cast("string")).cast("binary")), 1, 8)
+    draws = draws.select("r", (F.conv(digest, 16, 10).cast("long") % F.lit(max(n, 1))).cast("int").alias("_k"))
+    means = draws.join(F.broadcast(ranked.select("_k", "d")), "_k").groupBy("r").agg(F.round(F.avg("d"), 9).alias("m"))
+    order = F.row_number().over(Window.orderBy("m")) - 1  # one row a resample
+    placed = means.select("m", order.alias("_at"))
+    at = lambda share: F.max(F.when(F.col("_at") == int(resamples * share), F.col("m")))
+    whole = ranked.agg(F.round(F.avg("d"), 9).alias("mean"))
+    return placed.agg(F.round(at(0.025), 6).alias("low"), F.round(at(0.975), 6).alias("high")).join(F.broadcast(whole)).select(F.round("mean", 6).alias("mean"), "low", "high")
 
 
 def overlap(left: DataFrame, right: DataFrame, query_key: str, key: str, k: int = 5) -> DataFrame:

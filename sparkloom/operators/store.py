@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 def upsert(existing: DataFrame, fresh: DataFrame, key: list[str]) -> DataFrame:
     """``existing`` with the rows of ``fresh`` in place of those with the same key; a repeated run changes nothing."""
     kept = existing.join(fresh.select(*key).distinct(), key, "left_anti")
-    return kept.unionByName(fresh.dropDuplicates(key))
+    rest = [c for c in existing.columns if c not in key]
+    # of several rows with one key the greatest stays, so that a retry keeps the same one
+    one = fresh.groupBy(*key).agg(F.max(F.struct(*rest)).alias("_r")).select(*key, *(F.col(f"_r.{c}") for c in rest)) if rest else fresh.select(*key).distinct()
+    return kept.unionByName(one)
 
 
 def without(existing: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkloom.functions import globs as G
 from sparkloom.functions import text as X
 from sparkloom.operators import catalog as C
-from sparkloom.runtime import table
+from sparkloom.runtime import broadcast_if_small, table
 
 
 def _files(spark, d):
@@ -88,7 +89,7 @@ def latest_measurement(spark, d):
 
 
 def duplicate_names(spark, d):
-    return table(spark, d, "extracted_texts").groupBy(F.lower("file_name").alias("name")).agg(F.count("*").alias("n")).filter("n > 1")
+    return table(spark, d, "extracted_texts").groupBy(F.lower(F.regexp_extract("file_name", "^[A-Za-z]+", 0)).alias("name")).agg(F.count("*").alias("n")).filter("n > 1")
 
 
 def sources_at_path(spark, d):
@@ -96,7 +97,7 @@ def sources_at_path(spark, d):
 
 
 def content_duplicates(spark, d):
-    return table(spark, d, "source_files").groupBy(X.content_hash(F.col("file_text")).alias("sha")).agg(F.count("*").alias("files"), F.min("file_id").alias("first_file")).filter("files > 1")
+    return table(spark, d, "documents").groupBy(X.content_hash(F.col("text")).alias("sha")).agg(F.count("*").alias("files"), F.min("doc_id").alias("first_file")).filter("files > 1 and sha is not null")
 
 
 def chunk_ids(spark, d):
@@ -105,10 +106,10 @@ def chunk_ids(spark, d):
 
 
 def fingerprint_sha256(spark, d):
-    texts, sets = table(spark, d, "extracted_texts"), F.broadcast(table(spark, d, "chunk_sets"))
-    parts = ["blob_sha256", "chunk_size", "chunk_overlap", "boundary_mode", "custom_pattern", "unit_aware"]
-    joined = F.concat_ws("|", *(F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts))
-    return texts.join(sets, "corpus_id").select("text_id", "chunk_set_id", F.sha2(joined, 256).alias("fingerprint"))
+    """Every setting, model and version that a chunk depends on: a change of any one of the fourteen re-indexes."""
+    sets = table(spark, d, "chunk_sets").select("corpus_id", "chunk_set_id", "chunk_size", "chunk_overlap", "chars_per_token", "boundary_mode", "custom_pattern", "unit_aware")
+    joined = table(spark, d, "extracted_texts").join(broadcast_if_small(sets), "corpus_id")
+    return joined.select("text_id", "chunk_set_id", X.fingerprint(F.col("blob_sha256"), F.col("file_name")).alias("fingerprint"))
 
 
 def collection_stats(spark, d):
@@ -178,24 +179,25 @@ SELECT chunk_set_id, CAST(size AS INTEGER) AS size, CAST(least(o, size - 1) AS I
     "triage_reasons": r"""
 WITH p AS (SELECT *, lower(replace(relative_path, '\', '/')) AS p FROM walk_candidates), e AS (SELECT *, regexp_extract(p, '\.([^./]*)$', 1) AS ext FROM p)
 SELECT candidate_id, CASE WHEN regexp_matches(p, '(^|/)\.git(/|$)') THEN 'git plumbing'
-  WHEN regexp_matches(p, '(^|/)(node_modules|bin|obj|target|dist|build|__pycache__|\.venv|venv)/') OR ext IN ('exe', 'dll', 'zip', 'png', 'lock') THEN 'ignored'
+{ignored}
   WHEN sha256 IS NULL THEN 'unreadable' WHEN size_bytes = 0 THEN 'empty file'
-  WHEN size_bytes > CASE WHEN ext IN ('pdf', 'docx', 'pptx', 'epub') THEN 536870912 ELSE 262144 END THEN 'over the size cap' END AS reason FROM e""",
+  WHEN size_bytes > CASE WHEN ext IN ('pdf', 'docx', 'pptx', 'epub') THEN 536870912 ELSE 262144 END THEN 'over the size cap' END AS reason FROM e""".replace("{ignored}", "  WHEN " + " OR ".join(f"regexp_full_match(p, '{G.usable(rule)[1]}')" for rule in G.ALWAYS_EXCLUDE) + " THEN 'ignored'"),
     "newest_or_held": """
 WITH one AS (SELECT * FROM git_documents QUALIFY row_number() OVER (PARTITION BY source_id, relative_path ORDER BY git_doc_id) = 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY author_date DESC NULLS LAST, git_doc_id) AS n FROM one)
 SELECT git_doc_id FROM r WHERE n <= 5 OR git_doc_id % 10 = 0""",
     "latest_measurement": "SELECT source_id, arg_max(chunks_written, (reported_at, report_id)) AS chunks_written, arg_max(job_state, (reported_at, report_id)) AS job_state FROM job_progress GROUP BY source_id",
-    "duplicate_names": "SELECT lower(file_name) AS name, count(*) AS n FROM extracted_texts GROUP BY 1 HAVING count(*) > 1",
+    "duplicate_names": "SELECT lower(regexp_extract(file_name, '^[A-Za-z]+')) AS name, count(*) AS n FROM extracted_texts GROUP BY 1 HAVING count(*) > 1",
     "sources_at_path": _FILES + "SELECT string_split(path, '/')[1] AS folder, count(DISTINCT source_id) AS sources FROM files GROUP BY 1",
-    "content_duplicates": "SELECT sha256(file_text) AS sha, count(*) AS files, min(file_id) AS first_file FROM source_files GROUP BY 1 HAVING count(*) > 1",
+    "content_duplicates": "SELECT sha256(text) AS sha, count(*) AS files, min(doc_id) AS first_file FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "chunk_ids": """
 WITH u AS (SELECT text_id, corpus_id, file_name, unnest(units).unit_no AS unit_no FROM extracted_texts),
 h AS (SELECT *, sha256(concat_ws('|', corpus_id, CAST(text_id AS VARCHAR), file_name, CAST(unit_no AS VARCHAR))) AS x FROM u)
 SELECT text_id, unit_no, substr(x,7,2) || substr(x,5,2) || substr(x,3,2) || substr(x,1,2) || '-' || substr(x,11,2) || substr(x,9,2) || '-' || substr(x,15,2) || '5' || substr(x,14,1) || '-'
   || substr('89ab89ab89ab89ab', instr('0123456789abcdef', substr(x,17,1)), 1) || substr(x,18,1) || substr(x,19,2) || '-' || substr(x,21,12) AS chunk_id FROM h""",
-    "fingerprint_sha256": """
-SELECT text_id, chunk_set_id, sha256(concat_ws('|', blob_sha256, coalesce(CAST(chunk_size AS VARCHAR), ''), coalesce(CAST(chunk_overlap AS VARCHAR), ''), coalesce(boundary_mode, ''), coalesce(custom_pattern, ''), CAST(unit_aware AS VARCHAR))) AS fingerprint
+    "fingerprint_sha256": f"""
+SELECT text_id, chunk_set_id, sha256(concat_ws('|', blob_sha256, coalesce(CAST(chunk_size AS VARCHAR), ''), coalesce(CAST(chunk_overlap AS VARCHAR), ''), CAST(chars_per_token AS VARCHAR), coalesce(boundary_mode, ''), coalesce(custom_pattern, ''),
+  CAST(unit_aware AS VARCHAR), 'false', 'false', 'none', 'none', 'traw', 'x6', CASE WHEN regexp_matches(lower(file_name), '\\.(md|markdown)$') THEN 'c2m' ELSE 'c2' END)) AS fingerprint
 FROM extracted_texts JOIN chunk_sets USING (corpus_id)""",
     "collection_stats": "SELECT count(*) AS points, CAST(max(len(embedding)) AS INTEGER) AS dimensions, count(DISTINCT label) AS labels FROM embeddings",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.operators import blocks, chunker, metrics
 from sparkloom.operators import retrieval as R
 from sparkloom.queries import retrieval as RQ
-from sparkloom.runtime import table
+from sparkloom.runtime import broadcast_if_small, table
 from sparkloom.streaming import search_log as log
 
 
@@ -16,7 +16,7 @@ def _first_right(spark, d):
     """Rank of the first neighbour with the question's label, in lists of ten that leave the question out."""
     vectors = table(spark, d, "embeddings")
     hits = R.dense_topk(vectors, vectors.filter("vec_id % 100 = 0"), 11).filter("vec_id <> query_id")
-    hits = hits.join(F.broadcast(vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"))), "query_id")
+    hits = hits.join(broadcast_if_small(vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"))), "query_id")
     return hits.join(vectors.select("vec_id", "label"), "vec_id").groupBy("query_id", "wanted").agg(F.min(F.when(F.col("label") == F.col("wanted"), F.col("rank"))).alias("rank"))
 
 
@@ -45,6 +45,15 @@ def bootstrap_interval(spark, d):
     return metrics.paired_bootstrap(pairs)
 
 
+def threshold_search(spark, d):
+    scored = table(spark, d, "events").select("value", (F.col("event_type") == "purchase").alias("positive"))
+    return metrics.threshold_keeping(scored, "value", "positive", 0.9)
+
+
+def score_gap(spark, d):
+    return metrics.score_gaps(RQ.keyword_list(spark, d, 10), "item_id")
+
+
 def topk_overlap(spark, d):
     keyword, dense = RQ._by_document(spark, d, 40)
     return metrics.overlap(keyword, dense, "query_id", "chunk_id")
@@ -133,7 +142,7 @@ f AS (SELECT query_id, a.label AS wanted, min(CASE WHEN b.label = a.label THEN r
 QUERIES = {
     f.__name__: f
     for f in (
-        hit_at_k_mrr, sweep_grouping_sets, auc_rank_sum, wilson_interval, bootstrap_interval, topk_overlap, chunk_documents, log_keyset, log_oldest,
+        hit_at_k_mrr, sweep_grouping_sets, auc_rank_sum, wilson_interval, bootstrap_interval, threshold_search, score_gap, topk_overlap, chunk_documents, log_keyset, log_oldest,
         log_retained, log_windows, log_sessions, neighbour_units, offset_to_unit, git_sections, transcript_sections, stitch_gaps, line_window, commit_paths,
     )
 }
@@ -149,6 +158,18 @@ SELECT round(sum(p * (below + n / 2)) / (sum(p) * sum(n)), 6) AS auc, CAST(sum(p
 WITH c AS (SELECT event_type, CAST(count(*) AS DOUBLE) AS n, count(*) FILTER (WHERE value > 50) / CAST(count(*) AS DOUBLE) AS p FROM events GROUP BY event_type)
 SELECT event_type, round((p + 3.8416 / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) AS low,
   round((p + 3.8416 / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) AS high FROM c""",
+    "bootstrap_interval": """
+WITH q AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS k, length(passage) / 700 - length(query_text) / 40 AS d FROM eval_items), n AS (SELECT count(*) AS n FROM q),
+draws AS (SELECT r, CAST(('0x' || substr(md5('7-' || r || '-' || j), 1, 8)) AS BIGINT) % n AS k FROM n, range(5000) t(r), (SELECT unnest(range(n)) AS j FROM n)),
+m AS (SELECT r, round(avg(d), 9) AS m FROM draws JOIN q USING (k) GROUP BY r), o AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS spot FROM m)
+SELECT (SELECT round(avg(d), 6) FROM q) AS mean, round(max(m) FILTER (WHERE spot = 125), 6) AS low, round(max(m) FILTER (WHERE spot = 4875), 6) AS high FROM o""",
+    "threshold_search": """
+WITH e AS (SELECT value, event_type = 'purchase' AS positive FROM events WHERE value IS NOT NULL),
+p AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS k, count(*) OVER () AS n FROM e WHERE positive),
+t AS (SELECT value AS threshold FROM p WHERE k = CAST(floor(n * (1 - 0.9) + 1e-9) AS BIGINT))
+SELECT threshold, round(count(*) FILTER (WHERE positive AND value >= threshold) / CAST(count(*) FILTER (WHERE positive) AS DOUBLE), 6) AS kept,
+  round(count(*) FILTER (WHERE NOT positive AND value >= threshold) / CAST(count(*) FILTER (WHERE NOT positive) AS DOUBLE), 6) AS passed FROM e, t GROUP BY threshold""",
+    "score_gap": RQ._KEYWORD + "SELECT item_id, max(score) FILTER (WHERE rank = 1) AS top, round(max(score) FILTER (WHERE rank = 1) - coalesce(max(score) FILTER (WHERE rank = 2), 0), 6) AS gap, count(*) AS hits FROM keyword WHERE rank <= 10 GROUP BY item_id",
     "topk_overlap": RQ._LISTS + ", a AS (SELECT query_id, list(chunk_id) AS a FROM lists WHERE list = 1 AND rank <= 5 GROUP BY 1), b AS (SELECT query_id, list(chunk_id) AS b FROM lists WHERE list = 2 AND rank <= 5 GROUP BY 1) SELECT query_id, CAST(len(list_intersect(a, b)) AS INTEGER) AS shared FROM a JOIN b USING (query_id)",
     "log_keyset": "SELECT event_id, user_id, event_type FROM events WHERE event_id < 900 ORDER BY event_id DESC LIMIT 51",
     "log_oldest": "SELECT event_type, min(ts) AS oldest, count(*) AS n FROM events GROUP BY event_type",

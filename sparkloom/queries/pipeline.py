@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.plans.search import SearchRequest, search
+from sparkloom.queries import retrieval as RQ
 from sparkloom.runtime import table
 from sparkloom.sources import extract
 
@@ -22,7 +23,7 @@ def search_hybrid(spark, d):
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("dense"))
     asked = vectors.filter("chunk_id = 7").first()
     hits, _ = search(spark, _chunks(spark, d), SearchRequest("unit test of the query planner", ["en"], vector=list(asked.dense)), vectors)
-    return hits.select("rank", "chunk_id", "score", F.length("shown").alias("shown_chars"))
+    return hits.select("rank", "chunk_id", "score")
 
 
 def search_phrase(spark, d):
@@ -48,11 +49,53 @@ def transcript_render(spark, d):
 
 
 def decode_text(spark, d):
-    """Bytes of every code file, read as UTF-8 or else Latin-1, and their hash."""
-    files = table(spark, d, "source_files").select("file_id", F.encode("file_text", "UTF-8").alias("content"))
+    """Bytes of every code file, some with a byte order mark and some not UTF-8, read as UTF-8 or else Latin-1, and their hash."""
+    plain = F.encode("file_text", "UTF-8")
+    content = F.when(F.col("file_id") % 3 == 0, F.concat(F.unhex(F.lit("EFBBBF")), plain)).when(F.col("file_id") % 3 == 1, F.concat(plain, F.unhex(F.lit("E9")))).otherwise(plain)
+    files = table(spark, d, "source_files").select("file_id", content.alias("content"))
     return files.select("file_id", F.length(extract.decode_text(F.col("content"))).alias("chars"), F.sha2("content", 256).alias("sha256"))
 
 
 QUERIES = {f.__name__: f for f in (search_hybrid, search_phrase, html_text, transcript_render, decode_text)}
 
-SQL = {"decode_text": "SELECT file_id, CAST(length(file_text) AS INTEGER) AS chars, sha256(file_text) AS sha256 FROM source_files"}
+_SCOPED = r"""scoped AS (SELECT doc_id, text, source, relative_path FROM documents WHERE lower(trim(lang)) = 'en' {condition}),
+asked_text AS (SELECT 0 AS query_id, '{query}' AS query),
+{doc_terms},
+held AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+{query_terms},
+asked AS (SELECT term, count(*) AS qtf FROM q GROUP BY ALL),
+idf AS (SELECT term, ln(1 + ((SELECT count(*) FROM scoped) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM held GROUP BY term),
+scores AS (SELECT doc_id, round(sum(qtf * idf * tf), 6) AS score FROM held JOIN asked USING (term) JOIN idf USING (term) GROUP BY ALL),
+keyword AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scores)"""
+
+
+def _scoped(query: str, condition: str) -> str:
+    return (
+        "WITH "
+        + _SCOPED.replace("{condition}", condition).replace("{query}", query)
+        .replace("{doc_terms}", RQ.terms_cte("t", "scoped", "doc_id", "text")).replace("{query_terms}", RQ.terms_cte("q", "asked_text", "query_id", "query"))
+    )
+
+
+SQL = {
+    "search_phrase": _scoped(
+        "database index and memory leak",
+        r"""AND list_filter(string_split(lower(replace(coalesce(relative_path, ''), '\', '/')), '/'), lambda s: s NOT IN ('', '.'))[1] = 'docs'
+  AND regexp_matches(text, '(?i)(^|[^\p{L}\p{N}])unit[^\p{L}\p{N}]+test($|[^\p{L}\p{N}])')""",
+    )
+    + " SELECT rank, doc_id AS chunk_id, score FROM keyword WHERE rank <= 20",
+    "search_hybrid": _scoped("unit test of the query planner", "")
+    + r""", v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings JOIN scoped ON doc_id = vec_id),
+ds AS (SELECT vec_id, round(list_cosine_similarity(v, (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 7)), 6) AS score FROM v),
+dense AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM ds),
+lists AS (SELECT 1 AS list, doc_id, score FROM keyword WHERE rank <= 640 UNION ALL SELECT 2, vec_id, score FROM dense WHERE rank <= 640),
+marked AS (SELECT *, avg(score) OVER (PARTITION BY list) AS mu, stddev_samp(score) OVER (PARTITION BY list) AS sd FROM lists),
+fused AS (SELECT doc_id, round(sum(CASE WHEN sd > 0 THEN (score - (mu - 3 * sd)) / (6 * sd) ELSE 0.5 END), 6) AS score FROM marked GROUP BY doc_id),
+top AS (SELECT * FROM fused QUALIFY row_number() OVER (ORDER BY score DESC, doc_id) <= 160),
+best AS (SELECT doc_id, score FROM top JOIN scoped USING (doc_id)
+  QUALIFY row_number() OVER (PARTITION BY coalesce(source, ''), regexp_replace(coalesce(relative_path, ''), '\.[^./\\]*$', '') ORDER BY score DESC, doc_id) = 1)
+SELECT CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id AS chunk_id, score FROM best QUALIFY rank <= 10""",
+    "decode_text": r"""
+WITH b AS (SELECT file_id, file_text, CASE WHEN file_id % 3 = 0 THEN '\xEF\xBB\xBF'::BLOB || encode(file_text) WHEN file_id % 3 = 1 THEN encode(file_text) || '\xE9'::BLOB ELSE encode(file_text) END AS bytes FROM source_files)
+SELECT file_id, CAST(CASE WHEN file_id % 3 = 1 THEN octet_length(bytes) ELSE length(file_text) END AS INTEGER) AS chars, sha256(bytes) AS sha256 FROM b""",
+}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import globs
 from sparkloom.functions import text as X
 from sparkloom.operators import retrieval as R
-from sparkloom.runtime import table
+from sparkloom.runtime import broadcast_if_small, table
 
 STOP = "('" + "','".join(X.STOP_WORDS) + "')"
 
@@ -157,7 +157,7 @@ def phrase_locator(spark, d):
 def scope_filter(spark, d):
     """Texts of the corpora that have a default chunk set of 256 tokens or more: an EXISTS as a semi-join."""
     sets = table(spark, d, "chunk_sets").filter("is_default and chunk_size >= 256")
-    return table(spark, d, "extracted_texts").join(F.broadcast(sets), "corpus_id", "left_semi").select("text_id", "corpus_id")
+    return table(spark, d, "extracted_texts").join(broadcast_if_small(sets), "corpus_id", "left_semi").select("text_id", "corpus_id")
 
 
 def path_prefix_filter(spark, d):
@@ -171,10 +171,21 @@ def language_filter(spark, d):
 
 
 def symbol_index(spark, d):
-    """Names defined per file; a symbol filter is array_contains on them."""
-    files = table(spark, d, "source_files").filter("code_language in ('python', 'go')")
-    names = X.symbols_of(F.col("code_language"), F.col("file_text"))
-    return files.select("file_id", F.explode(names).alias("symbol"))
+    """Names defined per file, by the language of its path; a symbol filter is array_contains on them."""
+    names = X.symbols_of(X.language_of(F.col("relative_path")), F.col("file_text"))
+    return table(spark, d, "source_files").select("file_id", F.explode(names).alias("symbol"))
+
+
+def _symbols_sql() -> str:
+    parts = []
+    for language, pattern in X.SYMBOLS.items():
+        pattern = pattern if pattern.startswith("(?m)") else "(?m)" + pattern
+        one = f"regexp_extract_all(file_text, '{pattern}', 1)"
+        if "|" in pattern and pattern.count("(\\w+)") == 2:
+            one = f"list_transform(list_zip({one}, regexp_extract_all(file_text, '{pattern}', 2)), lambda x: CASE WHEN x[1] <> '' THEN x[1] ELSE x[2] END)"
+        endings = ", ".join(f"'{e}'" for e in X.LANGUAGES[language])
+        parts.append(f"WHEN ext IN ({endings}) THEN {one}")
+    return "CASE " + " ".join(parts) + " ELSE [] END"
 
 
 def source_root_filter(spark, d):
@@ -245,11 +256,12 @@ l AS (SELECT file_id, CASE WHEN lower(name) LIKE 'dockerfile%' THEN 'dockerfile'
     + """) THEN 'other' ELSE 'text' END AS language FROM n)
 SELECT file_id, language FROM l WHERE language IN ('python', 'go', 'text')""",
     "symbol_index": r"""
-WITH f AS (SELECT file_id, CASE code_language WHEN 'python' THEN regexp_extract_all(file_text, '(?m)^\s*(?:async\s+)?(?:def|class)\s+(\w+)', 1)
-  ELSE regexp_extract_all(file_text, '(?m)^\s*(?:func|type)\s+(?:\([^)]*\)\s*)?(\w+)', 1) END AS names FROM source_files WHERE code_language IN ('python', 'go')),
+WITH n AS (SELECT file_id, file_text, regexp_extract(replace(relative_path, '\', '/'), '[^/]*$') AS name FROM source_files),
+e AS (SELECT *, CASE WHEN lower(name) LIKE 'dockerfile%' OR name LIKE '.%' AND instr(name[2:], '.') = 0 THEN '' ELSE regexp_extract(lower(name), '\.([^.]*)$', 1) END AS ext FROM n),
+f AS (SELECT file_id, {names} AS names FROM e),
 u AS (SELECT file_id, unnest(names) AS symbol, generate_subscripts(names, 1) AS place FROM f),
-g AS (SELECT file_id, symbol, min(place) AS place FROM u GROUP BY ALL)
-SELECT file_id, symbol FROM g QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY place) <= 32""",
+g AS (SELECT file_id, symbol, min(place) AS place FROM u WHERE symbol <> '' GROUP BY ALL)
+SELECT file_id, symbol FROM g QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY place) <= 32""".replace("{names}", _symbols_sql()),
     "source_root_filter": "SELECT source_id, root_path FROM sources WHERE lower(root_path) = '/thimmorik' OR lower(root_path) LIKE '/thimmorik/%'",
     "glob_filter": rf"""
 WITH p AS (SELECT file_id, lower(replace(relative_path, '\', '/')) AS p FROM source_files)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import store
 from sparkloom.operators.ledger import jobs_in_order
-from sparkloom.runtime import table
+from sparkloom.runtime import broadcast_if_small, table
 
 
 def upsert_chunks(spark, d):
@@ -36,7 +36,7 @@ def framed_queries(spark, d):
 def canary_check(spark, d):
     """Each vector against the one of its label with the lowest id."""
     vectors = table(spark, d, "embeddings")
-    first = F.broadcast(vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("recorded")))
+    first = broadcast_if_small(vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("recorded")))
     return vectors.join(first, "label").filter(store.same_model(F.col("embedding"), F.col("recorded"), 0.5)).select("vec_id")
 
 

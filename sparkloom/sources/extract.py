@@ -23,8 +23,14 @@ MAX_PART_BYTES = 64 << 20
 EXTRACTOR_VERSION = 6
 
 # fixed values: elements that end a line, elements whose content is no text
-_BLOCKS = frozenset("p div section article aside h1 h2 h3 h4 h5 h6 header footer main nav ul ol li dl dt dd blockquote pre figure figcaption hr table thead tbody tfoot tr td th form fieldset address body".split())
-_SILENT = frozenset("script style noscript template head".split())
+_BLOCKS = frozenset((
+    "p", "div", "section", "article", "aside", "h1", "h2", "h3", "h4", "h5", "h6", "header", "footer", "main", "nav", "ul", "ol", "li", "dl", "dt",
+    "dd", "blockquote", "pre", "figure", "figcaption", "hr", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "form", "fieldset", "address",
+    "body",
+))
+_SILENT = frozenset((
+    "script", "style", "noscript", "template", "head",
+))
 
 
 def decode_text(content: Column) -> Column:

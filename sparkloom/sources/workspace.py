@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import subprocess
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,19 +13,6 @@ from sparkloom.functions import globs
 from sparkloom.operators.catalog import DOCUMENT_CAP, DOCUMENT_TYPES, TEXT_CAP
 from sparkloom.sources.extract import decode_text
 
-# fixed values: what every walk leaves out unless a later rule takes it back
-ALWAYS_EXCLUDE = [
-    ".git", ".hg/", ".svn/", "node_modules/", "bin/", "obj/", ".vs/", ".idea/", ".vscode/",
-    "target/", "dist/", "build/", "__pycache__/", ".venv/", "venv/",
-    "*.exe", "*.dll", "*.pdb", "*.so", "*.dylib", "*.o", "*.obj", "*.a", "*.lib",
-    "*.zip", "*.tar", "*.gz", "*.7z", "*.rar", "*.jar", "*.nupkg",
-    "*.woff", "*.woff2", "*.ttf", "*.eot", "*.otf",
-    "*.ico", "*.png", "*.jpg", "*.jpeg", "*.gif", "*.bmp", "*.webp", "*.svg",
-    "*.mp3", "*.mp4", "*.avi", "*.mov", "*.wav", "*.flac",
-    "*.db", "*.sqlite", "*.sqlite3",
-    "*.safetensors", "*.gguf", "*.bin", "*.pt", "*.pth", "*.pkl", "*.npy", "*.npz",
-    "*.lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml",
-]
 BINARY_PROBE = 8192
 
 
@@ -38,7 +26,7 @@ def walk(spark: SparkSession, root: str, include: list[str] | None = None, exclu
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.expr("substring(path, instr(path, '" + root.rstrip("/").replace("'", "\\'") + "') + " + str(len(root.rstrip("/")) + 1) + ")")
     files = files.select(path.alias("relative_path"), "length", F.col("modificationTime").alias("modified"), "content")
-    ignored = globs.excluded(F.col("relative_path"), ALWAYS_EXCLUDE)
+    ignored = globs.excluded(F.col("relative_path"), globs.ALWAYS_EXCLUDE)
     for directory, rules in [*ignore, ("", exclude or [])]:
         prefix = directory.strip("/") + "/" if directory.strip("/") else ""
         beneath = F.col("relative_path").startswith(prefix)
@@ -92,23 +80,36 @@ class GitLog(DataSource):
 class _GitReader(DataSourceReader):
     def __init__(self, options: dict):
         self.repository = options["path"]
-        self.newest = int(options.get("maxCommits", 1_000_000))
+        self.newest = int(options["maxCommits"]) if "maxCommits" in options else None
         self.merges = str(options.get("merges", "false")).lower() == "true"
         self.since = options.get("since")
+        self.ref = options.get("ref", "HEAD")
+        self.pathspecs = [p for p in options.get("pathspecs", "").split("\n") if p]
 
-    def _git(self, *arguments: str) -> str:
-        return subprocess.run(["git", "-C", self.repository, *arguments], check=True, capture_output=True, text=True, errors="replace").stdout
+    def _git(self, *arguments: str, given: str | None = None) -> str:
+        return subprocess.run(["git", "-C", self.repository, *arguments], input=given, check=True, capture_output=True, text=True, errors="replace").stdout
 
     def partitions(self) -> list[InputPartition]:
-        flags = [f"--max-count={self.newest}"] + ["--no-merges"] * (not self.merges) + [f"--since={self.since}T00:00:00Z"] * bool(self.since)
-        hashes = self._git("log", "--format=%H", *flags).split()
+        flags = [f"--max-count={self.newest}"] * (self.newest is not None) + ["--no-merges"] * (not self.merges) + [f"--since={self.since}T00:00:00Z"] * bool(self.since)
+        hashes = self._git("log", "--format=%H", *flags, self.ref, "--", *self.pathspecs).split()
         return [_Commits(hashes[i : i + GitLog.BATCH]) for i in range(0, len(hashes), GitLog.BATCH)] or [_Commits([])]
 
     def read(self, partition: InputPartition):
+        """The commits of a batch by three git processes: messages, stats and patches, each split at a mark of its own."""
+        if not partition.value:
+            return
+        mark, shas = f"\1{uuid.uuid4().hex}\1", "\n".join(partition.value)
+
+        def told(*arguments: str) -> dict[str, str]:
+            out = self._git("show", "--stdin", *arguments, given=shas)
+            return dict(part.split("\0", 1) for part in out.split(mark)[1:])
+
+        messages = told("-s", f"--format={mark}%H%x00%aI%x00%B")
+        stats = told("--stat", f"--format={mark}%H%x00")
+        patches = told("--patch", f"--format={mark}%H%x00")
         for sha in partition.value:
-            date, message = self._git("show", "-s", "--format=%aI%x00%B", sha).split("\0", 1)
-            stat = self._git("show", "--stat", "--format=", sha)
-            patch = self._git("show", "--format=", "--patch", sha)
-            if len(patch) > GitLog.MAX_PATCH:
-                patch = f"(patch of {len(patch)} characters left out)"
-            yield sha, date, f"commits/{date[:10]}-{sha[:12]}", message.strip(), stat.strip(), patch
+            date, message = messages[sha].split("\0", 1)
+            patch = patches[sha].lstrip("\n")
+            if len(patch.encode()) > GitLog.MAX_PATCH:
+                patch = f"[diff of {len(patch.encode()):,} bytes not included: over the {GitLog.MAX_PATCH:,} byte limit]"
+            yield sha, date, f"commits/{date[:10]}-{sha[:12]}", message.strip(), stats[sha].strip(), patch
