@@ -96,7 +96,7 @@ def cut_to_lines(text: Column, budget: int, line_numbers: bool = True) -> Column
     by_line = F.when(line > 0, F.substring(text, F.lit(1), line)).otherwise("")
     if not line_numbers:
         by_line = F.when((line < F.floor(ceiling / 2)) & (word > line), F.substring(text, F.lit(1), word)).otherwise(by_line)
-    return F.when(F.lit(budget <= 0), "").when(F.length(text) <= budget, text).otherwise(by_line)
+    return F.when(text.isNull(), text).when(F.lit(budget <= 0), "").when(F.length(text) <= budget, text).otherwise(by_line)
 
 
 def location(path: Column, start_line: Column, end_line: Column, unit_no: Column) -> Column:
