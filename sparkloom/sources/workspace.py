@@ -4,38 +4,82 @@ from __future__ import annotations
 
 import subprocess
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from sparkloom.functions import globs
+from sparkloom.operators import rules
 from sparkloom.operators.catalog import DOCUMENT_CAP, DOCUMENT_TYPES, TEXT_CAP
 from sparkloom.sources.extract import decode_text
 
 BINARY_PROBE = 8192
 
 
-def walk(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, ignore: list[tuple[str, list[str]]] = (), max_bytes: int = TEXT_CAP) -> DataFrame:
-    """Every file under ``root``: path, size, modified, content and the first reason to skip it, null if it is read.
+IGNORE_FILES = (".gitignore", ".ignore")
+MAX_IGNORE_BYTES = 1 << 20
+
+
+def ignore_rules(spark: SparkSession, root: str) -> DataFrame:
+    """The rules of every ignore file under ``root`` and of its ``.git/info/exclude``, as layers for :func:`rules.decided`.
 
-    ``ignore`` holds (directory, rules) from the root downwards; a rule of a deeper directory, then of the
-    exclude list, outranks those before it. An include list is a separate set a file must match. Spark's file
-    sources leave files of size 0 out of every scan, so these have no row here.
+    Of one directory, the later name in ``IGNORE_FILES`` outranks the earlier one; a repository's own exclude file comes last.
     """
+    schema = pa.schema([("scope", pa.string()), ("base", pa.string()), ("rank", pa.int32()), ("no", pa.int32()), ("rule", pa.string()), ("says", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                directory, _, name = path.lower().rpartition("/")
+                rank = IGNORE_FILES.index(name) + 1 if name in IGNORE_FILES else 0
+                lines = content.decode("utf-8", "replace").splitlines()
+                base = directory if rank else directory.removesuffix(".git/info").rstrip("/")
+                rows += [("", base, rank, no, rule, says) for no, (rule, says) in enumerate(rules.parsed_lines(lines))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    names = _scan(spark, root).filter((F.col("length") > 0) & (F.col("length") <= MAX_IGNORE_BYTES))
+    names = names.filter(F.lower("relative_path").rlike(r"(?:^|/)(?:\.gitignore|\.ignore|\.git/info/exclude)$"))
+    return names.select("relative_path", "content").mapInArrow(run, "scope string, base string, rank int, no int, rule string, says boolean")
+
+
+def _scan(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = F.expr("substring(path, instr(path, '" + root.rstrip("/").replace("'", "\\'") + "') + " + str(len(root.rstrip("/")) + 1) + ")")
-    files = files.select(path.alias("relative_path"), "length", F.col("modificationTime").alias("modified"), "content")
-    ignored = globs.excluded(F.col("relative_path"), globs.ALWAYS_EXCLUDE)
-    for directory, rules in [*ignore, ("", exclude or [])]:
-        prefix = directory.strip("/") + "/" if directory.strip("/") else ""
-        beneath = F.col("relative_path").startswith(prefix)
-        inner = F.expr(f"substring(relative_path, {len(prefix) + 1})")
-        for line in rules:
-            rule = globs.usable(line)
-            if rule:
-                hit = beneath & F.lower(inner).rlike(f"^(?:{rule[1]})$")
-                ignored = F.when(hit, F.lit(not rule[0])).otherwise(ignored)
+    bare = root.rstrip("/")
+    path = F.expr("substring(path, instr(path, '" + bare.replace("'", "\\'") + "') + " + str(len(bare) + 1) + ")")
+    return files.select(path.alias("relative_path"), "length", F.col("modificationTime").alias("modified"), "content")
+
+
+def walk(
+    spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, use_ignore_files: bool = True, max_bytes: int = TEXT_CAP, max_document_bytes: int = DOCUMENT_CAP
+) -> DataFrame:
+    """Every file under ``root``: path, size, modified, content and the first reason to skip it, null if it is read.
+
+    Reasons, in order: git plumbing, ignored, not included, over the size cap, binary. What every walk leaves out may be
+    taken back by an ignore file, an ignore file by one of a deeper directory, and all by the exclude list. An include
+    list is a separate set a file must match. Only files within the caps have their content read. Spark's file sources
+    leave files of size 0 out of every scan, so these have no row here.
+    """
+    within = F.col("length") <= max(max_bytes, max_document_bytes)
+    small, large = _scan(spark, root).filter(within), _scan(spark, root).drop("content").filter(~within).withColumn("content", F.lit(None).cast("binary"))
+    files = small.unionByName(large)
+    stated = [("", "", 0, no, rule, says) for no, (rule, says) in enumerate(rules.parsed_lines(globs.ALWAYS_EXCLUDE))]
+    own = [("", "", 9, no, rule, says) for no, (rule, says) in enumerate(rules.parsed_lines(exclude))]
+    kinds = "scope string, base string, rank int, no int, rule string, says boolean"
+    layers = spark.createDataFrame(stated, kinds)
+    if use_ignore_files:
+        layers = layers.unionByName(ignore_rules(spark, root))
+    # rules meet files through their directories, so that contents stay where they were read
+    files = files.withColumn("path", rules.folded_path(F.col("relative_path"))).withColumn("scope", F.lit(""))
+    files = rules.with_verdict(files, layers, "_layered")
+    ignored = F.coalesce("_layered", F.lit(False))
+    if own:
+        # the exclude list speaks about whole paths and outranks every layer
+        files = rules.with_verdict(files, spark.createDataFrame(own, kinds), "_listed")
+        ignored = F.coalesce("_listed", "_layered", F.lit(False))
     included = globs.excluded(F.col("relative_path"), include) if include else F.lit(True)
     extension = F.lower(F.regexp_extract("relative_path", r"\.([^./]*)$", 1))
     is_document = extension.isin(*DOCUMENT_TYPES)
@@ -43,10 +87,10 @@ def walk(spark: SparkSession, root: str, include: list[str] | None = None, exclu
         F.when(F.col("relative_path").rlike(r"(^|/)\.git(/|$)"), "git plumbing")
         .when(ignored, "ignored")
         .when(~included, "not included")
-        .when(F.col("length") > F.when(is_document, DOCUMENT_CAP).otherwise(max_bytes), "over the size cap")
+        .when(F.col("length") > F.when(is_document, max_document_bytes).otherwise(max_bytes), "over the size cap")
         .when(~is_document & F.hex(F.substring("content", 1, BINARY_PROBE)).rlike("^(?:..)*?00"), "binary")
     )
-    return files.withColumn("reason", reason)
+    return files.withColumn("reason", reason).drop("_layered", "_listed", "path", "scope")
 
 
 def read_texts(walked: DataFrame) -> DataFrame:

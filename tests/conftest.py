@@ -10,4 +10,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from sparkloom.runtime import local_session
 
-    return local_session(4, "4g", "tests")
+    session = local_session(4, "4g", "tests")
+    session.conf.set("spark.sql.shuffle.partitions", "2")  # the fixtures are small
+    return session
