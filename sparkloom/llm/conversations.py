@@ -235,14 +235,16 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _LINKS)], schema=_LINKS)
 
 
-def reply_links(turns: DataFrame) -> DataFrame:
+def reply_links(turns: DataFrame, blocks: bool = True) -> DataFrame:
     """(session_id, _block, turn_no, line_no, record_id, speaker, parent_turn, link_score, local_root) of every message.
 
-    parent_turn is null for a root; local_root is the root, or the message of an earlier block that the links lead to.
+    ``blocks`` says whether any session has more than one. parent_turn is null for a root; local_root is the root, or the message of an earlier block that the links lead to.
     """
     columns = ["session_id", "_block", "_own", "line_no", "record_id", *_LINKED_BY]
     own = turns.withColumn("_own", F.lit(True))
-    both = own.select(*columns).unionByName(_guests(turns).withColumn("_own", F.lit(False)).select(*columns))
+    both = own.select(*columns)
+    if blocks:
+        both = both.unionByName(_guests(turns).withColumn("_own", F.lit(False)).select(*columns))
     both = both.withColumn("recorded_at", F.unix_micros(F.col("recorded_at").cast("timestamp")) / 1e6)
     ordered = both.repartition("session_id", "_block").sortWithinPartitions("session_id", "_block", "turn_no")
     kinds = "session_id string, _block long, turn_no int, line_no int, record_id long, speaker string, parent_turn int, link_score double, local_root int"
@@ -287,8 +289,10 @@ def conversations(records: DataFrame, with_text: bool = True) -> DataFrame:
     whole = broadcast_if_small(whole_sessions(lines), MAX_BROADCAST_SESSIONS)
     messages = lines.filter("is_message").join(whole, "session_id", "left_semi")
     turns = _numbered(messages.drop("is_broken", "is_message", "text"))
-    linked = cut_lineage(reply_links(turns))
-    trees = link_trees(linked)
+    # where every session is one block nothing crosses, and nothing need be looked for beyond
+    blocks = bool(messages.filter(F.col("line_no") > BLOCK).limit(1).count())
+    linked = cut_lineage(reply_links(turns, blocks))
+    trees = link_trees(linked) if blocks else linked.withColumnRenamed("local_root", "tree_root").drop("_block")
     kept = trees.join(broadcast_if_small(forests(trees), MAX_BROADCAST_SESSIONS), "session_id", "left_semi")
     columns = ["session_id", "turn_no", "line_no", "record_id", "speaker", "parent_turn", "link_score", "tree_root"]
     if not with_text:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import globs
+from sparkloom.operators import rules
 from sparkloom.runtime import broadcast_if_small, cut_lineage
 
 PACKED_SHARE = 0.5
@@ -158,37 +159,25 @@ def declared_files(files: DataFrame, sources: DataFrame) -> DataFrame:
 
     An attribute file outranks its source's globs, and the globs those of nothing: sources and paths that are null declare nothing.
     """
-    folded = F.regexp_replace(F.lower(F.regexp_replace("relative_path", r"\\", "/")), r"^(?:\./)+", "")
-    placed = files.select("file_id", "source_id", folded.alias("path"), "file_text").filter(F.col("path").isNotNull() & F.col("source_id").isNotNull())
+    placed = files.select("file_id", F.col("source_id").alias("scope"), rules.folded_path(F.col("relative_path")).alias("path"), "file_text")
     placed = placed.withColumn("dir", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
-    rule = "array<struct<rule:string,declares:boolean>>"
-    schema = pa.schema([("source_id", pa.string()), ("dir", pa.string()), ("rank", pa.int32()), ("rules", pa.list_(pa.struct([("rule", pa.string()), ("declares", pa.bool_())])))])
+    rule = "array<struct<rule:string,says:boolean>>"
+    schema = pa.schema([("scope", pa.string()), ("dir", pa.string()), ("rank", pa.int32()), ("rules", pa.list_(pa.struct([("rule", pa.string()), ("says", pa.bool_())])))])
 
     def parse(parsed: Callable[[object], list[tuple[str, bool]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                told = [[{"rule": r, "declares": d} for r, d in parsed(x)] for x in batch.column(3).to_pylist()]
+                told = [[{"rule": r, "says": d} for r, d in parsed(x)] for x in batch.column(3).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(told, schema.field(3).type)], schema=schema)
 
         return run
 
-    kinds = f"source_id string, dir string, rank int, rules {rule}"
-    attributes = placed.filter(F.col("path").rlike(rf"(?:^|/)\{ATTRIBUTE_FILE}$")).select("source_id", "dir", F.lit(1).alias("rank"), "file_text").mapInArrow(parse(attribute_rules), kinds)
-    stated = sources.select("source_id", F.lit("").alias("dir"), F.lit(0).alias("rank"), "exclude_globs").filter("source_id is not null and size(exclude_globs) > 0")
-    rows = attributes.unionByName(stated.mapInArrow(parse(_glob_rules), kinds))
-    rules = cut_lineage(rows.select("source_id", F.col("dir").alias("base"), "rank", F.posexplode("rules").alias("no", "r")).select("source_id", "base", "rank", "no", "r.*"))
-    # the order of rules of each directory, from the directories that there are
-    above = F.transform(F.sequence(F.lit(0), F.size(F.split("dir", "/"))), lambda n: F.array_join(F.slice(F.split("dir", "/"), 1, n), "/"))
-    dirs = placed.select("source_id", "dir").distinct().select("source_id", "dir", F.explode(F.array_distinct(F.when(F.col("dir") == "", F.array(F.lit(""))).otherwise(above))).alias("base"))
-    order = F.struct((-F.length("base")).alias("depth"), (-F.col("rank")).alias("rank"), (-F.col("no")).alias("no"), "base", "rule", "declares")
-    orders = dirs.join(broadcast_if_small(rules, 500_000), ["source_id", "base"]).groupBy("source_id", "dir").agg(F.array_sort(F.collect_list(order)).alias("rules"))
-    at = placed.select("file_id", "source_id", "dir", "path").join(broadcast_if_small(orders, 500_000), ["source_id", "dir"])
-    held = "filter(rules, r -> rlike(substring(path, if(r.base = '', 1, length(r.base) + 2)), concat('^(?:', r.rule, ')$')))"
-    return at.selectExpr("file_id", f"get({held}, 0).declares AS declared").filter("declared IS NOT NULL").groupBy("file_id").agg(F.max("declared").alias("declared"))
-
-
-def _glob_rules(lines: object) -> list[tuple[str, bool]]:
-    return [(rule[1], not rule[0]) for line in lines or [] if line and (rule := globs.usable(line))]
+    kinds = f"scope string, dir string, rank int, rules {rule}"
+    attributes = placed.filter(F.col("path").rlike(rf"(?:^|/)\{ATTRIBUTE_FILE}$")).select("scope", "dir", F.lit(1).alias("rank"), "file_text").mapInArrow(parse(attribute_rules), kinds)
+    stated = sources.select(F.col("source_id").alias("scope"), F.lit("").alias("dir"), F.lit(0).alias("rank"), "exclude_globs").filter("scope is not null and size(exclude_globs) > 0")
+    rows = attributes.unionByName(stated.mapInArrow(parse(rules.parsed_lines), kinds))
+    found = cut_lineage(rows.select("scope", F.col("dir").alias("base"), "rank", F.posexplode("rules").alias("no", "r")).select("scope", "base", "rank", "no", "r.*"))
+    return rules.decided(placed, found, "file_id").groupBy("file_id").agg(F.max("verdict").alias("declared"))
 
 
 def _features(files: DataFrame) -> DataFrame:
