@@ -145,3 +145,31 @@ def memo_hits(asked: DataFrame, key: list[str], at: str, order: str, minutes: in
     window = Window.partitionBy(*key).orderBy(at, order)
     gap = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.lag(at).over(window).cast("timestamp"))
     return asked.withColumn("is_hit", F.coalesce(gap <= minutes * 60_000_000, F.lit(False)))
+
+
+def sources_at_root(asked: DataFrame, sources: DataFrame) -> DataFrame:
+    """(asked, found, error): the sources at each root or beneath it in any case, or an error that lists the roots there are."""
+    roots = sources.filter("root_path is not null").select("source_id", F.explode(F.transform(X.path_prefixes(F.col("root_path")), lambda p: F.concat(F.lit("/"), p))).alias("_root"))
+    named = asked.withColumn("_root", F.lower(F.regexp_replace("asked", "/+$", "")))
+    found = named.join(roots, "_root").groupBy("asked").agg(F.array_join(F.array_sort(F.collect_set("source_id")), ",").alias("found"))
+    # the roots of a service are a stated list of one row a source
+    every = sources.filter("root_path is not null").agg(F.array_join(F.array_sort(F.collect_set("root_path")), ", ").alias("_every"))
+    told = asked.join(found, "asked", "left").join(F.broadcast(every))
+    error = F.when(F.col("found").isNull(), F.concat(F.lit("no source at "), F.col("asked"), F.lit("; roots: "), F.col("_every")))
+    return told.select("asked", "found", error.alias("error"))
+
+
+#: Templates by model family and purpose; families without one are embedded as they are.
+TEMPLATES = {
+    "lex-embed": {"query": "search_query: {text}", "document": "search_document: {text}"},
+}
+
+
+def framed_for(model: Column, purpose: Column, text: Column, templates: dict[str, dict[str, str]] = TEMPLATES) -> Column:
+    """``text`` in the template of the model's family (its name before ``:``) for the purpose."""
+    family = F.split(model, ":", 2)[0]
+    told = text
+    for name, by_purpose in templates.items():
+        for kind, template in by_purpose.items():
+            told = F.when((family == name) & (purpose == kind), F.replace(F.lit(template), F.lit("{text}"), text)).otherwise(told)
+    return told

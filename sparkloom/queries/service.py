@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import globs
 from sparkloom.functions import text as X
 from sparkloom.operators import catalog as C
-from sparkloom.operators import sections
+from sparkloom.operators import context as K
+from sparkloom.operators import rules, sections
 from sparkloom.operators import service as V
 from sparkloom.operators.ledger import jobs_in_order
 from sparkloom.queries import retrieval as RQ
-from sparkloom.queries.catalogue import _FILES
+from sparkloom.queries.catalogue import _DIFF, _FILES, config_diff
 from sparkloom.queries.passages import _CH, _chunks
-from sparkloom.runtime import table
+from sparkloom.runtime import broadcast_if_small, table
 
 PRUNE_RULES = ["vendor/", "node_modules/", "obj/", "tests/", "!vendor/quillo/keep/", "!/tests/data/**"]
 
@@ -183,6 +185,94 @@ def commit_parts(spark, d):
     return docs.select("git_doc_id", F.when(stat > 0, stat).alias("stat_at"), F.when(patch > 0, patch).alias("diff_at"), F.coalesce((patch > 0) & (size > 65536), F.lit(False)).alias("over_limit"))
 
 
+LAYERS = {"": ["vendor/", "*.min.js", "*.json"], "src": ["*.go", "!vendor/", "!keep.min.js"], "src/roster": ["!*.go"], "tests": ["!*.json"]}
+
+
+def layered_ignores(spark, d):
+    """Files that ignore files of several directories leave out."""
+    rows = [("", base, 1, no, rule, says) for base, lines in LAYERS.items() for no, (rule, says) in enumerate(rules.parsed_lines(lines))]
+    layers = spark.createDataFrame(rows, "scope string, base string, rank int, no int, rule string, says boolean")
+    files = table(spark, d, "source_files").select("file_id", rules.folded_path(F.col("relative_path")).alias("path"), F.lit("").alias("scope"))
+    return rules.decided(files, layers, "file_id").filter("verdict").select("file_id")
+
+
+def lines_about(spark, d):
+    """Lines 20 to 30 of every file that has them, from its chunks: those that touch the range, stitched and cut."""
+    touching = _chunks(spark, d).filter("start_line <= 30 and end_line >= 20")
+    whole = K.passages(touching, [], ["file_id"])
+    shown = F.slice(F.split("text", "\n", -1), 20 - F.col("start_line") + 1, F.least(F.col("end_line"), F.lit(30)) - 19)
+    return whole.select("file_id", F.array_join(shown, "\n").alias("shown"))
+
+
+def sorted_files(spark, d):
+    """The largest files, then by status, path and id: every order of a listing ends in path and id."""
+    files = C.file_status(C.current_files(table(spark, d, "walk_candidates")), table(spark, d, "sources"))
+    return files.orderBy("status", F.desc_nulls_last("size_bytes"), "path", "candidate_id").offset(20).limit(60).select("candidate_id", "status", "path")
+
+
+def root_errors(spark, d):
+    """Roots asked for, each with the sources at it or beneath it, or the roots there are."""
+    asked = spark.createDataFrame([("/thimmorik",), ("/ULLPHALIN",), ("/nowhere",), ("/ullph",)], "asked string")
+    return V.sources_at_root(asked, table(spark, d, "sources"))
+
+
+def visible_jobs(spark, d):
+    """Jobs of the corpora a caller may see that did something, newest first."""
+    seen = table(spark, d, "sources").filter("corpus_id in ('co1', 'co2')").select(F.col("source_id").alias("job_source"))
+    jobs = jobs_in_order(table(spark, d, "job_progress")).join(broadcast_if_small(seen), "job_source", "left_semi").filter("files_total > 0")
+    return jobs.orderBy(F.desc("started_at"), F.desc("job_id")).limit(50).select("job_id", "job_state")
+
+
+def corpus_headline(spark, d):
+    """Files by state of each corpus beside its default set, Pending told apart."""
+    listing, state = _listed(spark, d)
+    states = V.listing_with_states(listing, state).join(broadcast_if_small(table(spark, d, "sources").select("source_id", "corpus_id")), "source_id")
+    base = table(spark, d, "chunk_sets").filter("is_default").groupBy("corpus_id").agg(F.min("chunk_set_id").alias("default_set"))
+    told = states.groupBy("corpus_id").agg(F.count_if(F.col("status") == "Indexed").alias("indexed"), F.count_if(F.col("status") == "Pending").alias("pending"), F.count_if(F.col("status") == "Failed").alias("failed"), F.count_if(F.col("status").isin("Skipped", "Empty")).alias("skipped"))
+    return told.join(broadcast_if_small(base), "corpus_id", "left")
+
+
+def sources_of_path(spark, d):
+    """Sources in which each path occurs."""
+    return C.current_files(table(spark, d, "walk_candidates")).groupBy("path").agg(F.countDistinct("source_id").alias("sources"))
+
+
+def outcome_map(spark, d):
+    """Outcomes of an import as one map, written as JSON."""
+    counts = config_diff(spark, d).groupBy("outcome").agg(F.count("*").alias("n"))
+    return counts.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("outcome", "n"))))).alias("outcomes"))
+
+
+def model_templates(spark, d):
+    """Questions and passages framed for the family of a model, by purpose."""
+    items = table(spark, d, "eval_items")
+    model = F.when(F.col("suite").startswith("recall"), "lex-embed:v2").otherwise("plain")
+    return items.select("item_id", V.framed_for(model, F.lit("query"), F.col("query_text")).alias("query"), F.length(V.framed_for(model, F.lit("document"), F.col("passage"))).alias("passage_chars"))
+
+
+def delete_by_set(spark, d):
+    from sparkloom.operators import store
+
+    sets = table(spark, d, "chunk_sets")
+    chunks = table(spark, d, "extracted_texts").select("text_id", "corpus_id").join(broadcast_if_small(sets.select("chunk_set_id", "corpus_id")), "corpus_id")
+    return store.without(chunks, sets.filter("not is_default").select("chunk_set_id"), ["chunk_set_id"]).select("text_id", "chunk_set_id")
+
+
+def commit_dates(spark, d):
+    """The author's own date of a commit, with its offset from UTC."""
+    stamp = F.regexp_extract("body", r"\ndate (\d{4}-\d{2}-\d{2})T[\d:]+(Z|[+-]\d{2}:\d{2})", 0)
+    docs = table(spark, d, "git_documents").withColumn("stamp", stamp).filter("stamp <> ''")
+    return docs.select("git_doc_id", F.substring("stamp", 7, 10).alias("day"), F.regexp_extract("stamp", "(Z|[+-][0-9:]+)$", 1).alias("offset"))
+
+
+def unit_text(spark, d):
+    """The text of each unit, from its start to the next one's."""
+    texts = table(spark, d, "extracted_texts").filter("length(body) > 0").select("text_id", "body", F.explode("units").alias("u")).select("text_id", "body", "u.unit_no", "u.start_offset")
+    order = Window.partitionBy("text_id").orderBy("start_offset", "unit_no")
+    ends = texts.withColumn("stop", F.coalesce(F.lead("start_offset").over(order), F.length("body")))
+    return ends.select("text_id", "unit_no", F.sha2(F.substring(F.col("body"), F.col("start_offset") + 1, F.col("stop") - F.col("start_offset")), 256).alias("sha256"))
+
+
 _STATES = r"""
 WITH jobs AS (SELECT job_id, arg_max(source_id, seq_no) AS job_source, arg_max(job_state, seq_no) AS state, min(started_at) AS started_at FROM job_progress GROUP BY job_id),
 marks AS (SELECT job_id FROM jobs WHERE state = 'Succeeded' QUALIFY row_number() OVER (PARTITION BY job_source ORDER BY started_at DESC, job_id DESC) = 1),
@@ -201,7 +291,8 @@ QUERIES = {
     for f in (
         scope_resolution, scoped_chunks, file_roots, file_states, refresh_actions, swept_files, library_states, cached_text_misses, prefix_backfill, due_sources, report_tail,
         search_history, active_tokens, proposal_facts, log_cuts, json_settings, promoted_sets, memo_lookups, units_union, orphan_chunks, delete_by_file, pruned_directories,
-        timed_sections, matched_messages, commit_parts,
+        timed_sections, matched_messages, commit_parts, layered_ignores, lines_about, sorted_files, root_errors, visible_jobs, corpus_headline, sources_of_path, outcome_map,
+        model_templates, delete_by_set, commit_dates, unit_text,
     )
 }
 
@@ -269,6 +360,40 @@ s AS (SELECT session_id, line_no, who, k, t AS since, CAST(1 AS BIGINT) AS secti
     s.section_no + CASE WHEN n.who <> s.who OR coalesce(n.t - s.since >= INTERVAL 10 MINUTE, false) THEN 1 ELSE 0 END
   FROM s JOIN n ON n.session_id = s.session_id AND n.k = s.k + 1)
 SELECT session_id, section_no, min(line_no) AS first_line, count(*) AS messages FROM s GROUP BY session_id, section_no""",
+    "layered_ignores": r"""
+WITH f AS (SELECT file_id, regexp_replace(lower(replace(relative_path, '\', '/')), '^(\./)+', '') AS p FROM source_files),
+r(base, no, rule, says) AS (VALUES """
+    + ", ".join(f"('{base}', {no}, '{rule}', {says})" for base, lines in LAYERS.items() for no, (rule, says) in enumerate(rules.parsed_lines(lines)))
+    + """), m AS (SELECT file_id, arg_max(says, (length(base), no)) AS says FROM f JOIN r ON (base = '' OR starts_with(p, base || '/')) AND regexp_full_match(CASE WHEN base = '' THEN p ELSE substr(p, length(base) + 2) END, rule) GROUP BY file_id)
+SELECT file_id FROM m WHERE says""",
+    "lines_about": "WITH "
+    + _CH
+    + " SELECT file_id, array_to_string(lines[20:30], chr(10)) AS shown FROM f WHERE len(lines) >= 20",
+    "sorted_files": _FILES + "SELECT candidate_id, status, path FROM files ORDER BY status, size_bytes DESC NULLS LAST, path, candidate_id LIMIT 60 OFFSET 20",
+    "root_errors": """
+WITH a(asked) AS (VALUES ('/thimmorik'), ('/ULLPHALIN'), ('/nowhere'), ('/ullph')),
+m AS (SELECT asked, string_agg(source_id, ',' ORDER BY source_id) AS found FROM a JOIN sources ON lower(root_path) = lower(asked) OR starts_with(lower(root_path), lower(asked) || '/') GROUP BY asked)
+SELECT asked, found, CASE WHEN found IS NULL THEN 'no source at ' || asked || '; roots: ' || (SELECT string_agg(DISTINCT root_path, ', ' ORDER BY root_path) FROM sources) END AS error FROM a LEFT JOIN m USING (asked)""",
+    "visible_jobs": """
+WITH j AS (SELECT job_id, arg_max(source_id, seq_no) AS s, arg_max(job_state, seq_no) AS job_state, arg_max(files_total, seq_no) AS n, min(started_at) AS t FROM job_progress GROUP BY job_id)
+SELECT job_id, job_state FROM j WHERE n > 0 AND s IN (SELECT source_id FROM sources WHERE corpus_id IN ('co1', 'co2')) ORDER BY t DESC, job_id DESC LIMIT 50""",
+    "corpus_headline": _STATES
+    + """, b AS (SELECT s.corpus_id, coalesce(t.status, 'Pending') AS status FROM listing l JOIN sources s ON s.source_id = l.source_id LEFT JOIN state t ON t.source_id = l.source_id AND t.path = l.path),
+e AS (SELECT corpus_id, min(chunk_set_id) AS default_set FROM chunk_sets WHERE is_default GROUP BY corpus_id)
+SELECT corpus_id, count(*) FILTER (WHERE status = 'Indexed') AS indexed, count(*) FILTER (WHERE status = 'Pending') AS pending, count(*) FILTER (WHERE status = 'Failed') AS failed,
+  count(*) FILTER (WHERE status IN ('Skipped', 'Empty')) AS skipped, any_value(default_set) AS default_set FROM b LEFT JOIN e USING (corpus_id) GROUP BY corpus_id""",
+    "sources_of_path": _FILES + "SELECT path, count(DISTINCT source_id) AS sources FROM files GROUP BY path",
+    "outcome_map": _DIFF + "SELECT '{' || string_agg('\"' || outcome || '\":' || n, ',' ORDER BY outcome) || '}' AS outcomes FROM (SELECT outcome, count(*) AS n FROM o GROUP BY outcome)",
+    "model_templates": """
+SELECT item_id, CASE WHEN suite LIKE 'recall%' THEN 'search_query: ' || query_text ELSE query_text END AS query, CAST(length(CASE WHEN suite LIKE 'recall%' THEN 'search_document: ' || passage ELSE passage END) AS INTEGER) AS passage_chars FROM eval_items""",
+    "delete_by_set": "SELECT text_id, chunk_set_id FROM extracted_texts JOIN chunk_sets USING (corpus_id) WHERE is_default",
+    "commit_dates": r"""
+WITH s AS (SELECT git_doc_id, regexp_extract(body, '\ndate (\d{4}-\d{2}-\d{2})T[\d:]+(Z|[+-]\d{2}:\d{2})', 1) AS day, regexp_extract(body, '\ndate (\d{4}-\d{2}-\d{2})T[\d:]+(Z|[+-]\d{2}:\d{2})', 2) AS "offset" FROM git_documents)
+SELECT * FROM s WHERE day <> ''""",
+    "unit_text": """
+WITH u AS (SELECT text_id, body, unnest(units) AS u FROM extracted_texts WHERE length(body) > 0),
+e AS (SELECT text_id, body, u.unit_no AS unit_no, u.start_offset AS lo, coalesce(lead(u.start_offset) OVER (PARTITION BY text_id ORDER BY u.start_offset, u.unit_no), length(body)) AS hi FROM u)
+SELECT text_id, unit_no, sha256(substr(body, lo + 1, hi - lo)) AS sha256 FROM e""",
     "matched_messages": """
 WITH n AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events)
 SELECT v.event_id, c.event_id AS matched FROM n v LEFT JOIN n c ON c.user_id = v.user_id AND c.k = v.k AND c.event_type = 'click' WHERE v.event_type = 'view'""",

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 MAX_TAGS = 1_000_000
 MAX_PART_BYTES = 64 << 20
+#: All parts of an archive together, and how deep elements may lie in one another.
+MAX_ARCHIVE_BYTES, MAX_NESTING = 512 << 20, 500
 EXTRACTOR_VERSION = 6
 
 # fixed values: elements that end a line, elements whose content is no text
@@ -39,6 +41,16 @@ def decode_text(content: Column) -> Column:
     return F.when(F.is_valid_utf8(bare.cast("string")), bare.cast("string")).otherwise(F.decode(bare, "ISO-8859-1"))
 
 
+SNIFFED_CHARS, SNIFFED_LINES = 65_536, 20
+
+
+def is_chat_log(text: Column) -> Column:
+    """Whether a text is a chat log by its content: one of its first lines is a record of a user's or assistant's message."""
+    lines = F.slice(F.filter(F.split(F.substring(text, 1, SNIFFED_CHARS), "\n", -1), lambda x: F.length(F.trim(x)) > 0), 1, SNIFFED_LINES)
+    record = lambda x: F.coalesce(F.get_json_object(x, "$.type"), F.lit("")).isin("user", "assistant") & F.get_json_object(x, "$.message").isNotNull()
+    return F.coalesce(F.exists(lines, record), F.lit(False))
+
+
 class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -101,6 +113,8 @@ def html_text(page: str) -> tuple[str, str | None]:
 
 def _parts(content: bytes, pattern: str) -> Iterator[tuple[str, bytes]]:
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        if sum(part.file_size for part in archive.infolist()) > MAX_ARCHIVE_BYTES:
+            raise ValueError("archive too large")
         for name in sorted(archive.namelist(), key=lambda n: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", n)]):
             if re.fullmatch(pattern, name):
                 if archive.getinfo(name).file_size > MAX_PART_BYTES:
@@ -108,7 +122,19 @@ def _parts(content: bytes, pattern: str) -> Iterator[tuple[str, bytes]]:
                 yield name, archive.read(name)
 
 
+def _refuse_deep(xml: bytes) -> None:
+    """Stop before a tree is built whose elements lie deeper than any document's do."""
+    depth = 0
+    for event, element in ElementTree.iterparse(io.BytesIO(xml), events=("start", "end")):
+        depth += 1 if event == "start" else -1
+        if depth > MAX_NESTING:
+            raise ValueError("nested too deeply")
+        if event == "end":
+            element.clear()
+
+
 def _joined(xml: bytes, paragraph: str) -> str:
+    _refuse_deep(xml)
     root = ElementTree.fromstring(xml)
     texts = ("".join(t.text or "" for t in p.iter() if t.tag.rsplit("}", 1)[-1] == "t") for p in root.iter() if p.tag.rsplit("}", 1)[-1] == paragraph)
     return "\n".join(t for t in texts if t.strip())
