@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -88,6 +89,33 @@ def _archive(kind: str, passage: str, label: str) -> bytes:
     return held.getvalue()
 
 
+def _pdf(passage: str, label: str) -> bytes:
+    """Two pages, the second packed, with page numbers; line ends only where words end."""
+    sure = lambda t: t.encode("cp1252", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
+    first = b"BT /F1 12 Tf 1 0 0 1 72 700 Tm (" + sure(label) + b") Tj 0 -14 Td (1) Tj ET"
+    second = zlib.compress(b"BT /F1 12 Tf 72 700 Td [(" + sure(passage) + b")] TJ T* (2) Tj ET")
+    parts = [
+        b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R 4 0 R] /Count 2 >>", b"<< /Type /Page /Parent 2 0 R /Contents 5 0 R >>", b"<< /Type /Page /Parent 2 0 R /Contents [6 0 R] >>",
+        b"<< /Length %d >>\nstream\n" % len(first) + first + b"\nendstream", b"<< /Length %d /Filter /FlateDecode >>\nstream\n" % len(second) + second + b"\nendstream",
+    ]
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (n, part) for n, part in enumerate(parts, 1)) + b"trailer << /Root 1 0 R >>\n%%EOF\n"
+
+
+def pdf_pages(spark, d):
+    """Two-page PDF files made of the held-out items with ASCII passages: pages as units, without their numbers."""
+    schema = pa.schema([("path", pa.string()), ("content", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            rows = [(f"{i}.pdf", _pdf(text, label)) for i, label, text in zip(*(batch.column(c).to_pylist() for c in range(3)))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(schema)], schema=schema)
+
+    passage = F.trim(F.regexp_replace("passage", r"\s+", " "))
+    items = table(spark, d, "eval_items").select("item_id", F.coalesce("suite", F.lit("")), passage.alias("passage")).filter(~F.col("passage").rlike(r"[^\x20-\x7e]"))
+    told = extract.extract(items.mapInArrow(run, "path string, content binary"))
+    return told.select("path", "text", F.array_join(F.transform("units", lambda u: F.concat_ws("@", u["unit_label"], u["start_offset"].cast("string"))), "|").alias("units"), "error")
+
+
 def _documents_of(spark, d, kinds):
     """(path, content): every held-out item as a document of each kind."""
     schema = pa.schema([("path", pa.string()), ("content", pa.binary())])
@@ -155,7 +183,7 @@ def result_windows(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        search_hybrid, search_phrase, html_text, transcript_render, decode_text, archive_texts, html_blocks, extraction_failures, without_nul, sniffed_logs, result_windows,
+        search_hybrid, search_phrase, html_text, transcript_render, decode_text, archive_texts, pdf_pages, html_blocks, extraction_failures, without_nul, sniffed_logs, result_windows,
     )
 }
 
@@ -201,6 +229,9 @@ WITH p AS (SELECT item_id, coalesce(suite, '') AS s, trim(regexp_replace(coalesc
 SELECT item_id || '.docx' AS path, s || chr(10) || t AS text, '' AS units FROM p
 UNION ALL SELECT item_id || '.pptx', s || chr(10) || t || chr(10) || '[notes]' || chr(10) || 'said aside', 'slide 1@0|slide 2@' || (length(s) + 1) FROM p
 UNION ALL SELECT item_id || '.epub', s || chr(10) || t, 'chapter 1@0|chapter 2@' || (length(s) + 1) FROM p""",
+    "pdf_pages": """
+WITH p AS (SELECT item_id, coalesce(suite, '') AS s, trim(regexp_replace(passage, '\\s+', ' ', 'g')) AS t FROM eval_items)
+SELECT item_id || '.pdf' AS path, s || chr(10) || t AS text, 'page 1@0|page 2@' || (length(s) + 1) AS units, CAST(NULL AS VARCHAR) AS error FROM p WHERE NOT regexp_matches(t, '[^\\x20-\\x7e]')""",
     "html_blocks": """
 SELECT item_id || '.html' AS path, suite || chr(10) || trim(regexp_replace(coalesce(passage, ''), '\\s+', ' ', 'g')) || chr(10) || 'one' || chr(10) || 'two' AS text, suite AS title, CAST(NULL AS VARCHAR) AS error FROM eval_items""",
     "extraction_failures": """

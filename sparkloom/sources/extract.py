@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.sources.pdf import pdf_text
+
 MAX_TAGS = 1_000_000
 MAX_PART_BYTES = 64 << 20
 #: All parts of an archive together, and how deep elements may lie in one another.
@@ -246,8 +248,8 @@ def transcript_text(lines: str) -> tuple[str, list[tuple[int, int, str]], str |
 
 def _extract(kind: str, content: bytes) -> tuple[str | None, list, str | None, str | None]:
     try:
-        if kind in ("docx", "pptx", "epub"):
-            text, units, title = {"docx": docx_text, "pptx": pptx_text, "epub": epub_text}[kind](content)
+        if kind in ("docx", "pptx", "epub", "pdf"):
+            text, units, title = {"docx": docx_text, "pptx": pptx_text, "epub": epub_text, "pdf": pdf_text}[kind](content)
         else:
             try:
                 plain = content.removeprefix(b"\xef\xbb\xbf").decode("utf-8")

@@ -167,7 +167,7 @@ def test_walk_and_git(spark, tmp_path):
     for name, data in (("a.py", b"x = 1\n"), ("e.txt", b""), ("b.dat", b"a\0b"), ("bin/x.py", b"1"), ("skip.md", b"m"), ("keep.md", b"k")):
         (root / name).write_bytes(data)
     walked = workspace.walk(spark, str(root), exclude=["*.md", "!keep.md"])
-    assert {r.relative_path: r.reason for r in walked.collect()} == {"a.py": None, "b.dat": "binary", "bin/x.py": "ignored", "skip.md": "ignored", "keep.md": None}
+    assert {r.relative_path: r.reason for r in walked.collect()} == {"a.py": None, "b.dat": "binary", "bin/x.py": "ignored", "skip.md": "ignored", "keep.md": None, "e.txt": "empty file"}
     assert {r.relative_path: r.text for r in workspace.read_texts(walked).collect()} == {"a.py": "x = 1\n", "keep.md": "k"}
     run = lambda *a: subprocess.run(["git", "-C", str(root), *a], check=True, capture_output=True)
     run("init", "-q")

@@ -1,5 +1,6 @@
 import subprocess
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -129,3 +130,38 @@ def test_git_commits_come_in_batches(spark, repository):
     one = spark.read.format("git_log").option("pathspecs", "b").load(repository).collect()
     assert [r.message.split("\n")[0] for r in one] == ["subject 1"]
     assert spark.read.format("git_log").option("maxCommits", "2").load(repository).count() == 2
+    Path(repository, "a.txt").write_text("one\nmore\n")
+    subprocess.run(["git", "-c", "user.name=a", "-c", "user.email=a@b.test", "-C", repository, "stash", "-q"], check=True)
+    (stash,) = spark.read.format("git_log").option("stashes", "true").load(repository).collect()
+    assert "+more" in stash.diff and "a.txt" in stash.stat and stash.path.startswith("stashes/")
+
+
+def test_walks_read_ignore_files(spark, tmp_path):
+    from sparkloom.sources import workspace
+
+    for name, text in ((".gitignore", "*.log\nout/\n"), ("a.log", "x"), ("b.py", "x"), ("sub/.gitignore", "!keep.log\n*.py\n"), ("sub/keep.log", "x"), ("sub/c.py", "x"), ("out/d.py", "x"), (".git/info/exclude", "b.py\n"), ("big.txt", "y" * 400), ("none.txt", ""), ("deep/a/b/c/e.md", "x"), ("node_modules/m/x.js", "x")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    (tmp_path / "link.md").symlink_to(tmp_path / "deep/a/b/c/e.md")
+    walked = workspace.walk(spark, str(tmp_path), max_bytes=300, max_document_bytes=300)
+    got = {r.relative_path: r.reason for r in walked.collect()}
+    assert got == {
+        ".gitignore": None, "a.log": "ignored", "b.py": "ignored", "sub/.gitignore": None, "sub/keep.log": None, "sub/c.py": "ignored",
+        "big.txt": "over the size cap", "none.txt": "empty file", "deep/a/b/c/e.md": None, "link.md": "link",
+    }
+    # directories that no rule could open again are not entered
+    assert "out/d.py" not in got and "node_modules/m/x.js" not in got
+    again = {r.relative_path for r in workspace.walk(spark, str(tmp_path), exclude=["!out/d.py"]).filter("reason is null").collect()}
+    assert "out/d.py" in again
+    assert workspace.walk(spark, str(tmp_path), use_ignore_files=False).filter("relative_path = 'a.log'").first().reason is None
+
+
+def test_pdf_files_that_cannot_be_read_fail_alone(spark):
+    from sparkloom.queries.pipeline import _pdf
+    from sparkloom.sources import extract
+
+    good = _pdf("words (in brackets) of a page", "Head")
+    rows = [("a.pdf", good), ("b.pdf", good[:-6]), ("c.pdf", good.replace(b"trailer <<", b"trailer << /Encrypt 9 0 R")), ("d.pdf", b""), ("e.pdf", b"%PDF %%EOF")]
+    got = {r.path: (r.text, r.error) for r in extract.extract(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    assert got["a.pdf"] == ("Head\nwords (in brackets) of a page", None)
+    assert got["b.pdf"][1] == got["d.pdf"][1] == "failed: ValueError" and got["c.pdf"][1] == "unreadable: PermissionError" and got["e.pdf"] == ("", None)
