@@ -44,3 +44,28 @@ def test_trees_do_not_depend_on_the_partitions(spark):
         assert {r.tree_root for r in linked(spark, *rows).values()} == {1}
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_planted_links_are_found(spark):
+    """Threads of three agents take turns at random; every message but a thread's first replies to the one before it in its thread."""
+    import random
+
+    rng = random.Random(6)
+    vocabulary = [[f"{stem}{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(5)] for stem in ("orchard", "neutron", "harbour")]
+    rows, last, want = [], {}, {}
+    for n in range(1, 241):
+        thread = rng.randrange(3)
+        turn = last.get((thread, "turns"), 0)
+        said = " ".join(rng.sample(vocabulary[thread], 6))
+        # a third of the messages come without their agent, so that words must tell
+        rows.append((n, "assistant" if turn % 2 else "user", f"agent{thread}" if rng.random() > 0.33 else None, said))
+        want[n] = last.get(thread)
+        last[thread], last[thread, "turns"] = n, turn + 1
+    rows[0], rows[-1] = (rows[0][0], "user", *rows[0][2:]), (rows[-1][0], "assistant", *rows[-1][2:])
+    got = linked(spark, *rows)
+    thread_of = {}
+    for n in range(1, 241):
+        thread_of[n] = thread_of[want[n]] if want[n] else n
+    within = sum(got[n].parent_turn is not None and thread_of[got[n].parent_turn] == thread_of[n] for n in want if want[n])
+    exact = sum(got[n].parent_turn == want[n] for n in want if want[n])
+    assert within >= 0.9 * (len(want) - 3) and exact >= 0.6 * (len(want) - 3)
