@@ -5,7 +5,7 @@ Every function takes a batch or a streaming frame; on a stream the watermark bou
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_RETENTION_DAYS = 36_500
@@ -49,3 +49,26 @@ def append(stream: DataFrame, folder: str, checkpoint: str):
         batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def prune(spark: SparkSession, folder: str, at: str, now: str, days: int) -> int:
+    """Drop rows older than ``days`` from an appended log, batch by batch; returns how many batches were rewritten.
+
+    A batch that holds nothing old is left alone; one that does is written aside and put in its place.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    count = 0
+    for state in files.listStatus(path(folder)):
+        name = state.getPath().getName()
+        if not name.startswith("batch="):
+            continue
+        rows = spark.read.parquet(f"{folder}/{name}")
+        kept = retained(rows, at, now, days)
+        if kept.count() == rows.count():
+            continue
+        kept.write.mode("overwrite").parquet(f"{folder}/.{name}")
+        files.delete(path(f"{folder}/{name}"), True)
+        files.rename(path(f"{folder}/.{name}"), path(f"{folder}/{name}"))
+        count += 1
+    return count
