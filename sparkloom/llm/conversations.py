@@ -33,6 +33,8 @@ ROOT_BELOW = 0.18
 TIME_SCALE_S = 900.0
 #: The silence after which a message counts half as going on with the thread: without shared words, names or ids the same agent's thread breaks after one to two hours.
 SILENCE_S = 3600.0
+#: Words below which a message is too short for a shared one to say much.
+SHORT = 4
 MAX_BROADCAST_SESSIONS = 500_000
 
 # fixed values: speaker spellings and the spans that hosts inject into messages
@@ -189,12 +191,15 @@ class _Thread:
             gap = None if at is None or when is None else abs(at - when)
             alternates = speaker != who
             same_agent = agent == whose
-            union = len(words | its_words)
-            content = 0.60 * (not answers.isdisjoint(its_calls)) + 0.10 * (not names.isdisjoint(its_names)) + (0.30 * len(words & its_words) / union if union else 0.0)
+            # a named agent says more than none; two names that differ speak against a link
+            agents = 0.10 if agent is None and whose is None else 0.20 if same_agent else 0.0 if agent is None or whose is None else -0.20
+            least = min(len(words), len(its_words))
+            shared = len(words & its_words) / max(least, SHORT) if least else 0.0
+            mentions = 0.60 * (not answers.isdisjoint(its_calls)) + 0.15 * (not names.isdisjoint(its_names))
             unbroken = 0.6 if gap is None else 1.0 / (1.0 + gap / SILENCE_S)
-            if same_agent * (0.35 + 0.15 * alternates) * unbroken + content < ROOT_BELOW:
+            if same_agent * (0.35 + 0.15 * alternates) * unbroken + mentions + 0.70 * shared < ROOT_BELOW:
                 continue
-            score = 0.25 * (0.3 if gap is None else exp(-gap / TIME_SCALE_S)) + 0.25 / (turn - candidate) + 0.15 * alternates + 0.10 * same_agent + content
+            score = 0.15 * (0.3 if gap is None else exp(-gap / TIME_SCALE_S)) + 0.40 / (turn - candidate) + 0.10 * alternates + agents + mentions + 0.80 * shared
             if best is None or (score, candidate) > best:
                 best, found = (score, candidate), candidate
         return (None, None) if found is None else (found, best[0])

@@ -200,13 +200,17 @@ def _features(files: DataFrame) -> DataFrame:
 
 
 def _mined(told: DataFrame) -> DataFrame:
-    """(pattern, precision) of the believed patterns, from (source_id, declared, is_told, patterns)."""
-    each = told.select("source_id", F.coalesce("declared", F.lit(False)).alias("declared"), "is_told", F.explode("patterns").alias("pattern"))
+    """(pattern, precision) of the believed patterns, from (source_id, declared, is_told, by_content, patterns)."""
+    # a bare extension is a language: what other patterns told, or that a source declares all its files of one, says nothing of it
+    bare = F.col("pattern").rlike(r"^end:\.\w+$")
+    each = told.select("source_id", F.coalesce("declared", F.lit(False)).alias("declared"), "is_told", "by_content", F.explode("patterns").alias("pattern"))
+    each = each.withColumn("is_told", F.when(bare, F.col("by_content")).otherwise(F.col("is_told")))
     by_source = each.groupBy("pattern", "source_id").agg(F.count("*").alias("files"), F.count_if("is_told").alias("told"), F.count_if("declared").alias("declared"))
     names = F.col("declared") >= DECLARED_SHARE * F.col("files")
     by_pattern = by_source.groupBy("pattern").agg(F.sum("files").alias("files"), F.sum("told").alias("told"), F.max(names & (F.col("declared") > 0)).alias("named"))
     by_pattern = by_pattern.withColumn("precision", F.col("told") / F.col("files"))
-    bar = F.when(F.col("named"), BELIEVED_DECLARED).otherwise(BELIEVED)
+    named = F.col("named") & ~bare
+    bar = F.when(named, BELIEVED_DECLARED).otherwise(BELIEVED)
     return by_pattern.filter((F.col("files") >= BELIEVED_FILES) & (F.col("precision") >= bar)).select("pattern", "precision")
 
 
@@ -229,7 +233,7 @@ def classify(files: DataFrame, sources: DataFrame) -> DataFrame:
     )
     declared = declared_files(files, sources)
     told = rows.drop("lines").join(shared, "file_id", "left").join(declared, "file_id", "left").withColumn("copy_share", F.coalesce("copy_share", F.lit(0.0)))
-    told = cut_lineage(told.withColumn("is_told", (F.size("marks") > 0) | (F.col("copy_share") >= COPY_SHARE)).withColumn("pattern", F.lit(None).cast("string")))
+    told = cut_lineage(told.withColumn("is_told", (F.size("marks") > 0) | (F.col("copy_share") >= COPY_SHARE)).withColumn("by_content", F.col("is_told")).withColumn("pattern", F.lit(None).cast("string")))
     for _ in range(ROUNDS):
         believed = _mined(told)
         matched = told.select("file_id", F.coalesce("declared", F.lit(True)).alias("by_path"), F.explode("patterns").alias("found"))
